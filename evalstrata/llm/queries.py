@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .backoff import score_documents
 from .common import table
 from .decontamination import find_contamination
 from .factorisation import score_quality, train
@@ -14,6 +15,7 @@ from .license_scan import scan_licenses
 from .media import media_clips
 from .piece_codec import encode_pieces
 from .token_counts import count_tokens
+from .web_archives import archived_pages
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = archived_pages(table(spark, sf_dir, "pages"))
+    return back.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     machine = train(documents, table(spark, sf_dir, "labels"))
@@ -74,14 +81,22 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.withColumn("feature", F.array_join(clips, ",")).drop("clips").withColumnRenamed("key", "doc_id")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return scored.select(F.col("key").alias("doc_id"), "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_token_counts": op3_token_counts,
         "op5_license_scan": op5_license_scan,
+        "op6_warc": op6_warc,
         "op8_quality": op8_quality,
         "op9_media": op9_media,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 
