@@ -13,6 +13,7 @@ from .decontamination import find_contamination
 from .factorisation import score_quality, train
 from .license_scan import scan_licenses
 from .media import media_clips
+from .near_duplicates import near_duplicates
 from .piece_codec import encode_pieces
 from .token_counts import count_tokens
 from .web_archives import archived_pages
@@ -41,6 +42,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("key").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.select(F.col("key").alias("doc_id"), F.col("class_key").alias("class_id"), "class_size")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     base = F.array_sort(F.array_distinct("places.label"))
@@ -92,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_token_counts": op3_token_counts,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_license_scan": op5_license_scan,
         "op6_warc": op6_warc,
         "op8_quality": op8_quality,
