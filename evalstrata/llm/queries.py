@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .backoff import score_documents
@@ -15,10 +15,15 @@ from .license_scan import scan_licenses
 from .media import media_clips
 from .near_duplicates import near_duplicates
 from .piece_codec import encode_pieces
+from .pii import PATTERNS, find_pii, listed
 from .token_counts import count_tokens
 from .web_archives import archived_pages
 
 
+def _is(k: int) -> Callable[[Column], Column]:
+    return lambda x: x == k
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
@@ -69,6 +74,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    kinds = F.transform("pii_base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
+    return found.select(F.col("key").alias("doc_id"), *counts, F.sha2(listed(F.col("pii_base")), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     machine = train(documents, table(spark, sf_dir, "labels"))
@@ -101,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_license_scan": op5_license_scan,
         "op6_warc": op6_warc,
+        "op7_pii": op7_pii,
         "op8_quality": op8_quality,
         "op9_media": op9_media,
         "op10_lm_scoring": op10_lm_scoring,
