@@ -5,7 +5,7 @@ the context shortened by its first word; a single word scores c(w) / N, a word n
 if seen once. Counts and N are of the whole corpus less the document's own occurrences, without which
 every n-gram of the corpus would be seen.
 
-Plan: documents become chunks of some million words, written once. Each chunk explodes into its
+Plan: documents become chunks of half a million words, written once. Each chunk explodes into its
 distinct n-grams with counts, dealt by ranges of a 64-bit hash (the count tables, each a range of
 hashes); a table adds up the chunks' counts, and each chunk's n-grams are joined to it in order. What
 comes back, the count in other chunks, is joined to the chunk, and log scores are summed per document.
@@ -27,7 +27,7 @@ from .common import kept, two_columns, words
 
 ALPHA = 0.4
 #: Words of a chunk, and distinct n-grams aimed at in a range of hashes.
-CHUNK_WORDS, RANGE_GRAMS = 1_000_000, 2_000_000
+CHUNK_WORDS, RANGE_GRAMS = 500_000, 1_500_000
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -96,7 +96,7 @@ def chunks(documents: DataFrame, chunk_words: int) -> DataFrame:
                 h = np.empty(len(own), np.uint64)
                 for i, w in enumerate(own):
                     if (x := hashes.get(w)) is None:
-                        if len(hashes) > 500_000:
+                        if len(hashes) > 200_000:
                             hashes.clear()
                         x = hashes[w] = xxhash.xxh3_64_intdigest(w)
                     h[i] = x
@@ -172,11 +172,16 @@ def score_documents(documents: DataFrame, order: int = 2, alpha: float = ALPHA,
         for row in chunk_rows.itertuples():
             sizes, word, document = opened(row.sizes, row.vocabulary, row.word)
             flat, places = all_grams(word, document, order)
-            distinct, back, n = np.unique(flat, return_inverse=True, return_counts=True)
-            counts = n + more
-            of = np.concatenate([document[p] for p in places]) if len(word) else np.zeros(0, np.int64)
-            _, which, own = np.unique(of * max(1, len(distinct)) + back, return_inverse=True, return_counts=True)
-            left = counts[back] - own[which]
+            of = np.concatenate([document[p] for p in places])
+            order_of = np.argsort(flat, kind="stable")  # within an n-gram, documents stay in order
+            sorted_of = of[order_of]
+            new = np.diff(flat[order_of], prepend=flat[order_of[:1]] + np.uint64(1)) != 0
+            group = np.cumsum(new) - 1
+            runs = np.flatnonzero(new | (np.diff(sorted_of, prepend=-1) != 0))
+            own = np.diff(np.append(runs, len(flat)))
+            left = np.empty(len(flat), np.int64)
+            left[order_of] = (np.bincount(group, minlength=len(more)) + more)[group] - np.repeat(own, own)
+            del order_of, sorted_of, new, group, runs, own, of, flat
             rest = np.maximum(1, total - sizes)[document]
             at, below = 0, np.zeros(len(word))
             before = rest
