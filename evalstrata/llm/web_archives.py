@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import kept, scratch
 from .warc import payload_of, salvage
 
 LEAST = 100
+#: Up to so many repeated payloads, of which digest and page id are sent to all executors; more are joined by a shuffle.
+SENT = 100_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 READ = "file string, start long, end long, gap string, record_type string, page_id string, refers_to string, payload_bytes long, payload_digest string"
 
@@ -59,7 +61,8 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, key: str = "page
     rows = pages.select(F.col(f"`{key}`").alias("page"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     groups = rows.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("page").alias("first"))
-    joined = rows.join(groups.filter("copies > 1").select("digest", "first"), "digest", "left")
+    repeated = kept(groups.filter("copies > 1").select("digest", "first"), "repeated")
+    joined = rows.join(F.broadcast(repeated) if repeated.count() <= SENT else repeated, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     text = record_text(*(F.col(c) for c in ("page", "url", "html", "digest", "first")), revisit)
     joined.select(text.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).option("compression", "none").text(path)
@@ -103,4 +106,4 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_warc(pages, path)
-    return resolved(read_warc(spark, path))
+    return resolved(kept(read_warc(spark, path), "records"))
