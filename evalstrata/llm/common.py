@@ -57,6 +57,13 @@ def kept(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that what is made of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def two_columns(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the key and the text, under fixed names, so other columns can't clash."""
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
@@ -70,7 +77,7 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[list, list], dict]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in sliced(batches):
             columns = work(batch.column(0), batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow

@@ -13,34 +13,42 @@ each, as the library has it by default. Repeated rows are counted each; other co
 from __future__ import annotations
 
 from collections import Counter
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import here, kept, two_columns
+from .common import here, kept, sliced, two_columns
 
 #: Characters that are letters, numbers, blanks or others to the library and to `regex` alike. Texts
 #: with any other are cut by the library itself.
 ALIKE = r"[\x00-՗、-ヿ一-鿿가-힣]*+"
 #: At most so many distinct pre-tokens are held before they are passed on.
-FLUSH = 400_000
+FLUSH = 100_000
 
 
 class PreTokens:
     """Cuts texts as the tokenizer does before its merges."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: tuple[str, ...]):
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.alike = regex.compile(ALIKE).fullmatch
 
+    @cached_property
+    def tokenizer(self):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def of(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens of a text and the number of special strings in it."""
         if self.special is None or not self.special.search(text):
@@ -57,26 +65,35 @@ class PreTokens:
         return [len(e) for e in self.tokenizer.encode_batch(pretokens, add_special_tokens=False)]
 
 
+@lru_cache(2)
+def pretokens(path: str, special: tuple[str, ...]) -> PreTokens:
+    """One for each worker process."""
+    return PreTokens(path, special)
+
+
 def count_tokens(
     documents: DataFrame,
     tokenizer: str | None = None,
     key: str = "doc_id",
     text: str = "text",
-    head: int = 200_000,
+    head: int = 150_000,
     head_chars: int = 64,
 ) -> DataFrame:
     """One row a document: key, n_bytes, n_tokens. The table sent to executors has at most `head`
     pre-tokens of at most `head_chars` characters."""
+    from tokenizers import Tokenizer
+
     path = tokenizer or here("byte_bpe_50k.json")
+    special = tuple(t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values())
     spark = documents.sparkSession
     rows = two_columns(documents, key, text)
 
     def distinct(batches):
-        cut, counts = PreTokens(path).of, Counter()
+        cut, counts = pretokens(path, special).of, Counter()
         flushed = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
         for batch in batches:
-            for t in batch.column(1).to_pylist():
-                if t:
+            for value in batch.column(1):
+                if t := value.as_py():
                     counts.update(cut(t)[0])
                     if len(counts) > FLUSH:
                         yield flushed()
@@ -84,24 +101,31 @@ def count_tokens(
         yield flushed()
 
     def count(batches):
-        pieces = PreTokens(path).pieces
-        for batch in batches:
+        pieces = pretokens(path, special).pieces
+        for batch in sliced(batches, 2_000):
             n = pieces(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32())], ["token", "n", "pieces"])
 
     tokens = rows.mapInArrow(distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted = kept(tokens.mapInArrow(count, "token string, n long, pieces int"), "pieces")
-    frequent = counted.filter(F.length("token") <= head_chars).orderBy(F.desc("n"), "token").limit(head)
-    known = spark.sparkContext.broadcast({r.token: r.pieces for r in frequent.select("token", "pieces").collect()})
+    short = counted.filter(F.length("token") <= head_chars).withColumn("step", F.floor(8 * F.log2("n")))
+    least, total = None, 0
+    for r in short.groupBy("step").count().orderBy(F.desc("step")).collect():  # some hundred steps at most
+        total += r["count"]
+        if total > head:
+            break
+        least = r.step
+    frequent = short.filter(F.col("step") >= F.lit(least)).select("token", "pieces").toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist(), strict=True)))
 
     def per_document(batches):
-        cut, pieces = PreTokens(path).of, known.value
-        for batch in batches:
+        cut, pieces = pretokens(path, special).of, known.value
+        for batch in sliced(batches):
             size, sums, rest = [], [], []
             for t in batch.column(1).to_pylist():
                 t = t or ""
-                own, special = cut(t)
-                total, left = special, []
+                own, total = cut(t)  # a special string is one token
+                left = []
                 for token, n in Counter(own).items():
                     if (p := pieces.get(token)) is None:
                         left.append({"token": token, "n": n})
