@@ -82,7 +82,8 @@ def chrf_counts(text: str, word_order: int) -> list[Counter]:
 
 
 def chrf_statistics(pred: Column, ref: Column, word_order: int = 0) -> Column:
-    """Array of (in answer, in reference, in both) for each n-gram order. Counting within a row keeps
+    """Array of (in answer, in reference, in both) for each n-gram order; the answer's n-grams don't count
+    where the reference has none of the order. Counting within a row keeps
     n-grams out of the shuffle; Arrow carries the rows."""
     @F.pandas_udf(ArrayType(LongType()))
     def f(p: pd.Series, r: pd.Series) -> pd.Series:
@@ -90,7 +91,7 @@ def chrf_statistics(pred: Column, ref: Column, word_order: int = 0) -> Column:
         for a, b in zip(p, r, strict=True):
             own = []
             for x, y in zip(chrf_counts(a or "", word_order), chrf_counts(b or "", word_order), strict=True):
-                own += [x.total(), y.total(), sum(min(n, y[g]) for g, n in x.items() if g in y)]
+                own += [x.total() if y else 0, y.total(), sum(min(n, y[g]) for g, n in x.items() if g in y)]
             rows.append(own)
         return pd.Series(rows)
 

@@ -46,7 +46,7 @@ orders AS (SELECT unnest(range(1, 7)) AS n),
 gp AS (SELECT id, view, n, substr(hp, i, n) AS g, count(*) AS c FROM (SELECT id, view, hp, n, unnest(range(1, length(hp) - n + 2)) AS i FROM t, orders WHERE length(hp) >= n) GROUP BY ALL),
 gr AS (SELECT id, view, n, substr(hr, i, n) AS g, count(*) AS c FROM (SELECT id, view, hr, n, unnest(range(1, length(hr) - n + 2)) AS i FROM t, orders WHERE length(hr) >= n) GROUP BY ALL),
 m AS (SELECT gp.id, gp.view, gp.n, sum(least(gp.c, gr.c)) AS both_n FROM gp JOIN gr ON gp.id = gr.id AND gp.view = gr.view AND gp.n = gr.n AND gp.g = gr.g GROUP BY ALL),
-s AS (SELECT t.id, t.view, orders.n, greatest(length(hp) - orders.n + 1, 0) AS hn, greatest(length(hr) - orders.n + 1, 0) AS rn, coalesce(both_n, 0) AS both_n
+s AS (SELECT t.id, t.view, orders.n, CASE WHEN length(hr) >= orders.n THEN greatest(length(hp) - orders.n + 1, 0) ELSE 0 END AS hn, greatest(length(hr) - orders.n + 1, 0) AS rn, coalesce(both_n, 0) AS both_n
   FROM t CROSS JOIN orders LEFT JOIN m ON m.id = t.id AND m.view = t.view AND m.n = orders.n)"""
 #: F with beta 2 of averages pr and rc.
 F2 = "CASE WHEN pr + rc > 0 THEN 100.0 * 5 * pr * rc / (4 * pr + rc) ELSE 0.0 END"
