@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .common import words
 from .license_scan import BLOCK_WORDS, PHRASES, TEMPLATES
 from .web_archives import LEAST
 
@@ -66,8 +67,49 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 4)
 FROM doc LEFT JOIN scored USING (doc_id)
 """
 
+
+
+def license_scan(threshold: int = 900) -> str:
+    """All blocks against all templates; threshold in thousandths."""
+    phrases = ", ".join(f"([{', '.join(repr(w) for w in k.split())}], '{v}')" for k, v in PHRASES.items())
+    rows = []
+    for label, text in TEMPLATES.items():
+        own = sorted({w.decode() for w in words(text)})
+        rows.append(f"('{label}', [{', '.join(repr(w) for w in own)}], {-(-len(own) * threshold // 1000)})")
+    step = BLOCK_WORDS // 2
+    return f"""
+WITH doc AS (SELECT doc_id, text, {words_of("text")} AS w FROM documents),
+phrase(ws, label) AS (VALUES {phrases}),
+template(label, ws, need) AS (VALUES {", ".join(rows)}),
+place AS (
+  SELECT doc_id, i - 1 AS pos, label
+  FROM (SELECT doc_id, w, label, ws, unnest(range(1, len(w) - len(ws) + 2)) AS i FROM doc, phrase WHERE len(w) >= len(ws))
+  WHERE list_slice(w, i, i + len(ws) - 1) = ws),
+line AS (SELECT doc_id, {words_of("line")} AS lw FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+block AS (
+  SELECT doc_id, lw AS b FROM line WHERE len(lw) BETWEEN 1 AND {BLOCK_WORDS}
+  UNION ALL
+  SELECT doc_id, list_slice(lw, i + 1, i + {BLOCK_WORDS})
+  FROM (SELECT doc_id, lw, unnest(range(0, greatest(1, len(lw) - {step}), {step})) AS i FROM line WHERE len(lw) > {BLOCK_WORDS})),
+compared AS (SELECT doc_id, label, need, len(ws) AS n, len(list_filter(ws, lambda x: list_contains(b, x))) AS common FROM block, template),
+match AS (SELECT doc_id, label, max(CAST(common AS DOUBLE) / n) AS share FROM compared WHERE common >= need GROUP BY doc_id, label),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM place GROUP BY doc_id),
+named AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM match) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM match GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM doc LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 SQL: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
+    "op5_license_scan": license_scan(),
     "op6_warc": WARC,
     "op10_lm_scoring": LM_SCORING,
 }
