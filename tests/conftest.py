@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent.parent))
-os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent.parent), os.environ.get("PYTHONPATH", "")])
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent.parent), str(Path(__file__).parent), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
