@@ -27,7 +27,7 @@ def latest_results(spark: SparkSession, folder: str, preferred: str = "results.j
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """(task, metric, value) of the numbers of a result file; strings and booleans aren't results."""
     v = F.try_parse_json("value")
-    raw = spark.read.option("wholetext", "true").text(path).select(v.alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(v.alias("v"))
     if raw.filter(F.try_variant_get("v", "$.results", "variant").isNotNull()).isEmpty():
         raise ConfigError(f"{path} has no 'results' object.", "It must be the file that the harness writes.")
     raw.createOrReplaceTempView("_harness")

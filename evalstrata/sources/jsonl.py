@@ -221,7 +221,7 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     """The manifest of a run, a JSON object."""
     if not exists(spark, path):
         raise RunError(f"{path} doesn't exist.")
-    text = spark.read.option("wholetext", "true").text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     try:
         found = json.loads(text)
     except ValueError:
