@@ -73,16 +73,6 @@ KEYED = f"WITH {INPUTS}, k AS (SELECT *, {norm('text', 'strip')} AS ik, {norm('r
 NUMBERS = r"list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace({0}, '(\p{{Nd}}),(\p{{Nd}})', '\1\2', 'g'), '(\p{{Nd}}),(\p{{Nd}})', '\1\2', 'g'), '\p{{Nd}}+(?:\.\p{{Nd}}+)?')))"
 
 
-def flags(run: str, alias: str) -> str:
-    """Rules that matter in the derived runs: repeated, truncated, missing terms, numbers."""
-    name = r"list_distinct(regexp_extract_all(reference, '\b(?:[A-Z]{2,})\b'))"
-    return f"""{answered(run, alias + "_a")},
-{alias} AS (SELECT id, name FROM (SELECT id, unnest(list_filter([
-  CASE WHEN trim(answer) = '' THEN 'empty_output' END,
-  CASE WHEN trim(answer) <> '' AND {NUMBERS.format("reference")} <> {NUMBERS.format("answer")} THEN 'number_mismatch' END], lambda x: x IS NOT NULL)) AS name
-  FROM {alias}_a WHERE status = 'ok'))"""
-
-
 SQL: dict[str, str] = {
     "normalize_tone_aware": f"SELECT doc_id, {norm('text')} AS norm FROM documents",
     "normalize_tone_insensitive": f"SELECT doc_id, {norm('text', 'strip')} AS norm FROM documents",
@@ -123,6 +113,17 @@ four AS (SELECT doc_id, max(c) AS most FROM (SELECT doc_id, g, count(*) AS c FRO
 SELECT k.doc_id, (len(w) >= 8 AND one.most >= 0.5 * len(w)) OR (len(w) >= 12 AND coalesce(four.most, 0) >= 3) AS repeated,
   CAST(len({NUMBERS.format("text")}) AS BIGINT) AS n_numbers
 FROM k LEFT JOIN one USING (doc_id) LEFT JOIN four USING (doc_id)""",
+    "flag_rules": rf"""WITH {INPUTS}, {answered("candidate", "a")},
+k AS (SELECT id, reference AS r, answer AS p, regexp_extract_all({norm("answer", "strip")}, '[\p{{L}}\p{{N}}_]+') AS w,
+  regexp_replace(regexp_replace(regexp_replace(answer, '\s+$', ''), '["''”’)\]}}]+$', ''), '\s+$', '') AS bare FROM a WHERE status = 'ok'),
+one AS (SELECT id, max(c) AS most FROM (SELECT id, x, count(*) AS c FROM (SELECT id, unnest(w) AS x FROM k) GROUP BY ALL) GROUP BY id),
+four AS (SELECT id, max(c) AS most FROM (SELECT id, g, count(*) AS c FROM (SELECT id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 2)) AS i FROM k WHERE len(w) >= 4)) GROUP BY ALL) GROUP BY id)
+SELECT k.id, {NUMBERS.format("r")} <> {NUMBERS.format("p")} AS number_mismatch,
+  regexp_matches(r, '[.!?…]\s*$') AND bare <> '' AND NOT regexp_matches(bare, '[.!?…]$') AND len(w) >= 5 AS truncated,
+  (len(w) >= 8 AND one.most >= 0.5 * len(w)) OR (len(w) >= 12 AND coalesce(four.most, 0) >= 3) AS repeated,
+  length(regexp_replace(p, '[^\p{{L}}]', '', 'g')) >= 10 AND length(regexp_replace(p, '[^\p{{L}}]|\p{{Latin}}', '', 'g')) >= 0.2 * length(regexp_replace(p, '[^\p{{L}}]', '', 'g')) AS non_latin,
+  trim(p) = '' AS blank
+FROM k LEFT JOIN one USING (id) LEFT JOIN four USING (id)""",
     "duplicates": f"{KEYED}, f AS (SELECT ik, rk, min(pos) AS first_pos FROM k GROUP BY ik, rk HAVING count(*) > 1) SELECT id, first_pos FROM k JOIN f USING (ik, rk) WHERE pos > first_pos",
     "conflicts": f"""WITH {INPUTS}, k AS (SELECT id, pos, {norm("array_to_string(list_slice(string_split(reference, ' '), 1, 2), ' ')", "strip")} AS ik, {norm("reference", "strip")} AS rk FROM ex),
 refs AS (SELECT ik, rk, min(pos) AS pos FROM k GROUP BY ik, rk), several AS (SELECT ik, count(*) AS n FROM refs GROUP BY ik HAVING count(*) > 1)

@@ -200,6 +200,21 @@ def text_rules(spark, sf_dir):
     return k.select("doc_id", fl.repeats(F.col("a")).alias("repeated"), F.size(fl.numbers(F.col("text"))).cast("long").alias("n_numbers"))
 
 
+@query
+def flag_rules(spark, sf_dir):
+    """The rules that hold an answer against its reference, each by itself."""
+    a = normalized_columns(answers(spark, sf_dir, "candidate").filter("status = 'ok'"), {"a": ("answer", "strip")})
+    p, r = F.col("answer"), F.col("reference")
+    return a.select(
+        "id",
+        (fl.numbers(r) != fl.numbers(p)).alias("number_mismatch"),
+        fl.truncated(r, p, F.col("a")).alias("truncated"),
+        fl.repeats(F.col("a")).alias("repeated"),
+        fl.non_latin(p).alias("non_latin"),
+        (fl.stripped(p) == "").alias("blank"),
+    )
+
+
 @query
 def duplicates(spark, sf_dir):
     return va.duplicates(va.keyed(inputs.examples(spark, sf_dir))).select("id", "first_pos")
