@@ -64,8 +64,22 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+#: Bytes of the Arrow batches in which rows go to Python and back, on either side of the pipe.
+BATCH_BYTES = 4 << 20
+#: Spark's own bound, under which a session has set none.
+DEFAULT_BATCH_BYTES = "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes: counted in rows, a batch of long texts has no bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def two_columns(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the key and the text, under fixed names, so other columns can't clash."""
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
 

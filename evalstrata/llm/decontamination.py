@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, two_columns, words
+from .common import kept, sliced, two_columns, words
 
 SCHEMA = "key {key}, text string, n_words long, spans array<struct<first:int,last:int>>, item_ids array<string>"
 
@@ -127,7 +127,7 @@ def find_contamination(
 
         def run(batches, own=own):
             found = machines(own.value)
-            for batch in batches:
+            for batch in sliced(batches):
                 n, all_spans, all_items = [], [], []
                 for body, spans, items in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
                     w = words(body)

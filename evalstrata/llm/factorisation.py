@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WORD_BYTES
+from .common import WORD_BYTES, sliced, small_batches
 
 BUCKETS, FACTORS = 1 << 14, 8
 #: Places of the structure statistics and the metadata behind the hashed words.
@@ -30,11 +29,6 @@ STATS = 12
 SIZE = BUCKETS + STATS
 
 
-@lru_cache(200_000)
-def bucket(word: bytes) -> int:
-    return zlib.crc32(word) % BUCKETS
-
-
 def statistics(text: str, raw: bytes, own: list[bytes], distinct: int, declared: int | None) -> list[float]:
     """Structure statistics of a text, about 0 to 1 each, and its declared length as metadata."""
     n, w = max(1, len(text)), max(1, len(own))
@@ -66,7 +60,7 @@ def features(text: str | None, declared: int | None = None) -> tuple[np.ndarray,
     counts = Counter(raw.translate(WORD_BYTES).split())
     sums: Counter = Counter()
     for word, n in counts.items():
-        sums[bucket(word)] += n
+        sums[zlib.crc32(word) % BUCKETS] += n
     index = np.fromiter(sums.keys(), np.int32, len(sums))
     value = np.log1p(np.fromiter(sums.values(), np.float32, len(sums)))
     if len(value):
@@ -153,6 +147,7 @@ def score_quality(documents: DataFrame, machine: Machine, column: str = "score",
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(documents.sparkSession)
     own = documents.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors))
     target = StructType([*documents.schema.fields, *StructType.fromDDL(f"`{column}` double").fields])
     arrow = to_arrow_schema(target)
@@ -160,7 +155,7 @@ def score_quality(documents: DataFrame, machine: Machine, column: str = "score",
 
     def run(batches):
         m = Machine(*own.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             declared = batch.column(n_at).to_pylist() if n_at is not None else [None] * len(texts)
             scores = pa.array([m.score(t, n) for t, n in zip(texts, declared, strict=True)], pa.float64())
