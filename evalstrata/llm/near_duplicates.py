@@ -2,17 +2,15 @@
 
 Two texts are near copies if, of the shingles of five words of both, at least 0.8 align in order
 (aligned / (all - aligned)). Texts of the same words are one node. A node's sketch has a key for each
-of `tables` tables; nodes with a common key form a bucket. The members of each bucket are held against
-its leaders: of each of three shares of them, the member with the most company in its buckets, which
-is most often the text that the others are copies of. Members that align with none get new keys,
-min-hashes of how they differ from their three leaders with the most company: near copies of each
-other that are none of the leaders' differ from them alike. In buckets of these keys leaders are tried in rounds,
-until each member has a link or has been held against all others. Buckets have no cap, and a round
-makes eight rows for each member at most. Links that hold are joined to classes.
+of `tables` tables; nodes with a common key form a bucket. The members of each bucket are first held
+against its leaders: of each of three shares of them, the member with the most company in its buckets,
+which is most often the text that the others are copies of. Links that hold are joined to components.
+Then all pairs of a bucket's members that are of different components are compared, linked or not, so
+every pair of a common key is either in one class or has been compared (or differs in length by more
+than the threshold allows). Buckets have no cap. Links that hold are joined to classes.
 
 A pair that just reaches 0.8 shares a table's key with probability about 0.41, so all 24 tables miss
-it three times in a million. Pairs of which no test is made though they align are those that their
-leaders part; the README has the recall measured against all pairs.
+it three times in a million.
 
 Defined cases: null and empty texts have no words and are a class of their own each. A text of fewer
 than five words is one shingle. Repeated rows are copies of each other. A null key is the last in
@@ -26,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, scratch, sliced, two_columns, words
+from .common import kept, sliced, two_columns, words
 from .components import components
-from .order_minhash import SAMPLE, SHINGLE, SIMILARITY, TABLES, difference_keys, shingles, similarity, sketch
+from .order_minhash import SAMPLE, SHINGLE, SIMILARITY, TABLES, shingles, similarity, sketch
 
 #: Nodes whose hashes may be sent to all executors, to send on only texts that are compared.
 KNOWN_NODES = 1_000_000
-#: Leaders of a bucket of common sketch keys, and of one of common differences.
-LEADERS, MORE_LEADERS = 3, 8
+#: Leaders of a bucket, and members of a bucket in one block of comparisons.
+LEADERS, BLOCK = 3, 256
 
 
 def node_of(own: list[bytes]) -> bytes:
@@ -116,24 +114,6 @@ def compared(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> Dat
     return both.select("leader", "node", "wa", "wb").mapInArrow(run, "leader binary, node binary, similarity double")
 
 
-def difference_rows(alone: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(node, bucket) of the difference keys of nodes (node, leaders), which have a few leaders each."""
-
-    def run(batches):
-        for batch in sliced(batches):
-            nodes, keys = [], []
-            for node, own, leaders in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                a, *b = (shingles(np.frombuffer(w, np.uint32), size) for w in (own.as_py(), *leaders.as_py()))
-                found = difference_keys(b, a).view(np.int64).tolist()
-                keys += found
-                nodes += [node.as_py()] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(keys, pa.int64())], ["node", "bucket"])
-
-    each = alone.select("node", F.explode("leaders").alias("leader"))
-    theirs = each.join(texts.select(F.col("node").alias("leader"), F.col("words").alias("w")), "leader").groupBy("node").agg(F.collect_list("w").alias("leaders"))
-    return theirs.join(texts, "node").select("node", "words", "leaders").mapInArrow(run, "node binary, bucket long")
-
-
 def with_company(rows: DataFrame) -> DataFrame:
     """Distinct (bucket, node, n) of buckets of n > 1 nodes."""
     rows = rows.select("bucket", "node").distinct()
@@ -150,6 +130,22 @@ def leaders_of(live: DataFrame, shares: int) -> DataFrame:
     return found.select("bucket", F.explode("best").alias("b")).select("bucket", F.col("b.node").alias("leader"), "b.company")
 
 
+def across(live: DataFrame, labels: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """Distinct (leader, node), leader < node, of all pairs of a bucket's nodes with different labels (node, label)
+    whose sizes (node, size) can align. One of the two is outside the bucket's largest component, so only such
+    nodes are held against all members, and pairs within that component are never made."""
+    known = live.join(labels, "node", "left").join(sizes, "node").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"), "size")
+    parts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    mixed = kept(known.join(main.filter("parts > 1").select("bucket", "main"), "bucket"), "mixed")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    a = mixed.filter("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"))
+    b = mixed.select("bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), "main")
+    most = F.floor((F.col("sa") + F.col("sb")) * (1 - 2 * least / (1 + least)) + 1e-9)
+    pairs = a.join(b, ["bucket", "block"]).filter((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.abs(F.col("sa") - F.col("sb")) <= most))
+    return pairs.select(F.least("a", "b").alias("leader"), F.greatest("a", "b").alias("node")).distinct()
+
+
 def near_duplicates(
     documents: DataFrame,
     key: str = "doc_id",
@@ -165,33 +161,19 @@ def near_duplicates(
     own = kept(prints(rows, tables, sample, size), "prints")
     live = kept(with_company(own.filter("sketch is not null").select("node", F.explode("sketch").alias("bucket"))), "buckets")
     texts = kept(sequences(rows, live.select("node").distinct()), "texts")
-    spark, paths, tested = documents.sparkSession, [], None
-    while not live.isEmpty():
-        leaders = kept(leaders_of(live, LEADERS if tested is None else MORE_LEADERS), "leaders")
-        asked = live.join(leaders, "bucket").filter("node <> leader").groupBy("leader", "node").agg(F.max("company").alias("company"))
-        if tested is None:
-            asked = kept(asked, "asked")
-        else:
-            asked = asked.join(tested.select("leader", "node"), ["leader", "node"], "left_anti")
-        found = compared(asked.select("leader", "node"), texts, least, size)
-        paths.append(scratch(spark, "verified"))
-        found.write.parquet(paths[-1])
-        first, tested = tested is None, spark.read.schema(found.schema).parquet(*paths)
-        linked = tested.filter("similarity is not null").select("node").distinct()
-        if first:  # who aligns with no leader gets new keys
-            ranked = F.array_sort(F.collect_list(F.struct((-F.col("company")).alias("c"), "leader")))
-            alone = asked.join(linked, "node", "left_anti").groupBy("node").agg(F.transform(F.slice(ranked, 1, LEADERS), lambda x: x["leader"]).alias("leaders"))
-            left = difference_rows(alone, texts, size)
-        else:
-            led = leaders.select("bucket", F.col("leader").alias("node"))
-            left = live.join(led, ["bucket", "node"], "left_anti").join(linked, "node", "left_anti")
-        live = kept(with_company(left), "buckets")
-        if first:
-            texts = kept(texts.join(live.select("node").distinct(), "node", "left_semi"), "texts")
-    if tested is None:
+    if live.isEmpty():
         named = own.select("key", "node", F.col("node").alias("class"))
     else:
-        labels = components(tested.filter("similarity is not null").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        leaders = leaders_of(live, LEADERS)
+        led = live.join(leaders, "bucket").filter("node <> leader").select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
+        tested = kept(compared(led, texts, least, size), "verified")
+        good = tested.filter("similarity is not null").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        labels = components(good)
+        sizes = texts.select("node", F.greatest(F.length("words") / 4 - (size - 1), F.lit(1)).cast("long").alias("size"))
+        rest = across(live, labels, sizes, least).join(tested.select("leader", "node"), ["leader", "node"], "left_anti")
+        more = kept(compared(rest, texts, least, size), "verified").filter("similarity is not null").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        if not more.isEmpty():
+            labels = components(good.unionByName(more))
         named = own.filter("node is not null").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("class"))
     first = named.filter("node is not null").groupBy("class").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "node")).alias("first"), F.count(F.lit(1)).alias("class_size"))
     out = named.filter("node is not null").join(first, "class").select("key", "node", F.col("first.key").alias("class_key"), F.col("first.node").alias("class_node"), "class_size")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 SHINGLE, SAMPLE, TABLES, SIMILARITY = 5, 4, 24, 0.8
-DIFFERENCE_TABLES, DIFFERENCE_SAMPLE = 32, 3
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,27 +98,3 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
         return None
     common = (total - d) / 2
     return common / (total - common)
-
-
-def difference_keys(leaders: list[np.ndarray], own: np.ndarray, tables: int = DIFFERENCE_TABLES) -> np.ndarray:
-    """Min-hashes, the three smallest of each table, of how a sequence of shingles differs from those of its
-    leaders: of what it adds to all of them, and, where that is little, of what it lacks though two of
-    them (or the only one) have it. So what is peculiar to one leader doesn't count. Two texts that are
-    near copies of each other but not of the leaders differ from them in much the same way."""
-    own_x = labelled(own)
-    x, n = np.unique(np.concatenate([labelled(a) for a in leaders]), return_counts=True)
-    adds = np.setdiff1d(own_x, x, assume_unique=True)
-    lacks = np.setdiff1d(x[n >= min(2, len(leaders))], own_x, assume_unique=True)
-    rng = np.random.default_rng(21)
-    factors = rng.integers(1, 2**63, tables, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = [np.zeros(0, np.uint64)]
-    for side, x in enumerate((adds, lacks)):
-        if len(x) and not (side and len(adds) >= 0.3 * len(own)):
-            v = x[None, :] * factors[:, None]
-            k = min(DIFFERENCE_SAMPLE, len(x))
-            low = np.sort(np.partition(v, k - 1, axis=1)[:, :k], axis=1)
-            key = factors + np.uint64(side)
-            for i in range(k):
-                key = mixed(key * GOLDEN + low[:, i])
-            out.append(key)
-    return np.concatenate(out)

@@ -87,6 +87,29 @@ def test_classes(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_copies_of_copies(spark):
+    """A text whose only near copies are neither leaders nor unlinked keeps its link. Of a tree of copies only
+    parent and child align, and one table puts many of them in one bucket."""
+    rng = random.Random(23)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    texts = [[rng.choice(vocabulary) for _ in range(150)]]
+    while len(texts) < 60:
+        w = list(rng.choice(texts))
+        for k in range(3):
+            w[rng.randrange(k * 50, k * 50 + 50)] = rng.choice(vocabulary)
+        texts.append(w)
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    buckets = {}
+    for i, t in rows:
+        buckets.setdefault(int(sketch(word_hashes(words(t)), 1, 1)[0]), []).append((i, t))
+    want = {}
+    for own in buckets.values():
+        want |= brute(own)
+    assert len(set(want.values())) < 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.key: r.class_key for r in near_duplicates(docs, tables=1, sample=1).collect()} == want
+
+
 def test_repeated_and_null_keys(spark):
     text = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(3, text), (3, text), (None, text), (9, text + " more")], "doc_id long, text string")
