@@ -1,6 +1,9 @@
 """License scans by an exact set-similarity join between text blocks and license templates.
 
-A block is a line of a text, lines over `block_words` words in overlapping windows of that length.
+A block is a line of a text, lines over `block_words` words in overlapping windows of that length, or
+a window over the words of the whole text, which finds notices that are wrapped over lines. These
+windows have three times the words of the longest template and overlap by two thirds, so any run of
+twice the longest template lies in one; those within one line that is a block are left out.
 A template matches a block when the block has at least `threshold` of the template's distinct words.
 All words of the templates are put in one global order, the rarest in the corpus first. Prefix
 filter: a matching block has one of the first `n - need + 1` words of the template in that order.
@@ -16,6 +19,7 @@ sorted. Repeated rows are scored each; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -51,17 +55,36 @@ TEMPLATES = {
 BLOCK_WORDS = 256
 
 
-def blocks(text: str | None, block_words: int = BLOCK_WORDS) -> list[list[bytes]]:
-    """The blocks of a text, each a list of words. Windows overlap by half."""
-    out = []
+def longest(templates: dict[str, str]) -> int:
+    """Words of the longest template."""
+    return max((len(words(t)) for t in templates.values()), default=0)
+
+
+LONGEST = longest(TEMPLATES)
+
+
+def blocks(text: str | None, block_words: int = BLOCK_WORDS, step: int = LONGEST) -> list[list[bytes]]:
+    """The blocks of a text, each a list of words: lines, of which windows overlap by half, then
+    windows of 3 * `step` words over the whole text, which overlap by two thirds."""
+    out, whole, starts = [], [], []
     for line in (text or "").split("\n"):
         w = words(line)
+        if w:
+            starts.append(len(whole))
+            whole += w
         if len(w) <= block_words:
             if w:
                 out.append(w)
         else:
-            step = block_words // 2
-            out += [w[i : i + block_words] for i in range(0, max(1, len(w) - step), step)]
+            half = block_words // 2
+            out += [w[i : i + block_words] for i in range(0, max(1, len(w) - half), half)]
+    step = max(1, step)
+    for i in range(0, max(1, len(whole) - 2 * step) if whole else 0, step):
+        last = min(i + 3 * step, len(whole))
+        line = bisect_right(starts, i)
+        end = starts[line] if line < len(starts) else len(whole)
+        if last > end or end - starts[line - 1] > block_words:
+            out.append(whole[i:last])
     return out
 
 
@@ -138,6 +161,7 @@ def scan_licenses(
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
     frequency = template_frequencies(documents, templates, text)
+    step = longest(templates)
     runs = [(words(k), v) for k, v in phrases.items()]
 
     def make():
@@ -152,7 +176,7 @@ def scan_licenses(
                 out["places"].append([{"word": a, "label": b} for a, b in sorted(find_phrases(w, runs))])
                 found = []
                 if not need.isdisjoint(w):
-                    for i, block in enumerate(blocks(body, block_words)):
+                    for i, block in enumerate(blocks(body, block_words, step)):
                         for label, share in sorted(index.matches(set(block)).items()):
                             found.append({"block": i, "label": label, "containment": share})
                 out["matches"].append(found)

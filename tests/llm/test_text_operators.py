@@ -194,6 +194,21 @@ def test_license_scan(spark, documents, none, as_map):
     assert set(PHRASES.values()) == {"cc-by", "gpl", "reserved"}
 
 
+def test_license_notices_over_lines(spark):
+    """Every template wrapped at every place, with words before and after."""
+    rows = []
+    for label in ("mit-notice", "bsd", "apache-2.0-notice"):
+        w = TEMPLATES[label].split()
+        rows += [(label, "before\n" * before + " ".join(w[:k]) + "\n# " + " ".join(w[k:]) + "\nafter" * 70) for k in range(3, len(w) - 2) for before in (0, 50)]
+    rows += [("long", "one two\n" * 100 + " ".join(f"t{k}" for k in range(300)).replace("t150", "t150\n") + "\nend")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, label string, text string")
+    long = TEMPLATES | {"long": " ".join(f"t{k}" for k in range(300))}
+    for r in scan_licenses(docs.coalesce(1), templates=long).collect():
+        assert rows[r.key][0] in {m.label for m in r.matches}, rows[r.key]
+    for r in scan_licenses(docs.filter("label <> 'long'").coalesce(1)).collect():
+        assert {m.label for m in r.matches} == {rows[r.key][0]}, rows[r.key]
+
+
 def test_media_round_trip(documents, texts, none, as_map):
     import hashlib
     import zlib
