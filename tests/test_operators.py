@@ -324,3 +324,12 @@ def test_benchmark_results(spark, tmp_path):
 def test_keys_use_the_language(spark):
     df = spark.createDataFrame([("'yar", "ha"), ("'yar", "yo")], "t string, lang string")
     assert {r.lang: r.n for r in normalized_columns(df, {"n": ("t", "keep")}, "lang").collect()} == {"ha": "'yar", "yo": "yar"}
+
+
+def test_top_substitutions_of_all_rows(spark, monkeypatch):
+    from evalstrata.plans import inputs, queries
+
+    rows = [(k, k, "one two three", "en", "d") for k in range(8)]
+    monkeypatch.setattr(inputs, "examples", lambda *_: spark.createDataFrame(rows, "id long, pos long, reference string, lang string, domain string"))
+    monkeypatch.setattr(inputs, "results", lambda *_: spark.createDataFrame([(k, "one x three", 1.0, None) for k in range(8)], "id long, prediction string, latency_ms double, error string"))
+    assert [(r.ref, r.hyp, r.n) for r in queries.top_substitutions(spark, "").collect()] == [("two", "x", 8)]
