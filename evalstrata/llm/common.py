@@ -31,14 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is the cluster's setting
-    spark.checkpoint.dir; only where that is unset (tests) a folder is made here."""
+    """The folder that driver and executors share: the cluster's setting spark.checkpoint.dir. Only where
+    that is unset a folder is made: a temporary one in local mode (tests), else one in the warehouse,
+    which a cluster's executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if not folder:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="evalstrata-checkpoint-"))
+    if not folder and not context._jsc.sc().getCheckpointDir().isEmpty():
         return context._jsc.sc().getCheckpointDir().get()
+    if not folder and context.master.split("[")[0] == "local":
+        folder = tempfile.mkdtemp(prefix="evalstrata-checkpoint-")
+    elif not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
     return folder
@@ -51,10 +54,41 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 def kept(df: DataFrame, kind: str) -> DataFrame:
     """`df` written once to the shared folder and read back: its lineage ends there, it survives
-    lost executors, and later readers don't compute it again."""
+    lost executors, and later readers don't compute it again. `dropped` deletes it; what a lazy result
+    still reads stays until the folder is cleaned."""
     path = scratch(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes kept frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Rows up to which a narrow frame, whose rows have been counted, is sent to all executors.
+SENT = 100_000
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """`df` marked for a broadcast join if it has few rows; else Spark shuffles it. Results are equal."""
+    return F.broadcast(df) if rows <= SENT else df
+
+
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """`df` in few partitions if it has few rows, so that it isn't written as many small files."""
+    return df.coalesce(8) if rows <= SENT else df
+
+
+def spread(df: DataFrame, rows: int, each: int, *by: str) -> DataFrame:
+    """`df` dealt by columns into partitions of about `each` rows, as many as there are shuffle partitions at
+    least. For rows that are small in bytes and dear in time, which adaptive execution would put together."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // each)), *by)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

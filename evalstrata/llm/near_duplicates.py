@@ -2,12 +2,17 @@
 
 Two texts are near copies if, of the shingles of five words of both, at least 0.8 align in order
 (aligned / (all - aligned)). Texts of the same words are one node. A node's sketch has a key for each
-of `tables` tables; nodes with a common key form a bucket. The members of each bucket are first held
-against its leaders: of each of three shares of them, the member with the most company in its buckets,
-which is most often the text that the others are copies of. Links that hold are joined to components.
-Then all pairs of a bucket's members that are of different components are compared, linked or not, so
-every pair of a common key is either in one class or has been compared (or differs in length by more
-than the threshold allows). Buckets have no cap. Links that hold are joined to classes.
+of `tables` tables; nodes with a common key form a bucket, and of buckets of the same nodes one stays.
+
+Buckets of up to `BLOCK` nodes are settled in one task each: all pairs are held against the bound that
+common shingles set, and those that may reach the threshold are aligned until what belongs together is
+joined. Larger buckets are dealt by a salted hash into blocks, which are settled in the same way. Links
+are joined to components. Between the blocks of the larger buckets, pairs of different components
+remain; an exact set-similarity join finds them: shingles get one global order, the rare ones first, and
+near copies have a shingle in common among the first `n - ceil(0.8 n) + 1` of both, at places that leave
+enough of both behind it. Changed shingles of near copies are rare and those of the text that they are
+copies of are frequent, so this join makes few pairs where one text has a great many copies. Pairs found
+are aligned and join components to classes. Nothing caps a bucket.
 
 A pair that just reaches 0.8 shares a table's key with probability about 0.41, so all 24 tables miss
 it three times in a million.
@@ -19,19 +24,23 @@ order. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, sliced, two_columns, words
+from .common import dropped, in_few, kept, sent, sliced, spread, two_columns, words
 from .components import components
-from .order_minhash import SAMPLE, SHINGLE, SIMILARITY, TABLES, shingles, similarity, sketch
+from .order_minhash import SAMPLE, SHINGLE, SIMILARITY, TABLES, labelled, links_within, near, shingles, sketch
 
-#: Nodes whose hashes may be sent to all executors, to send on only texts that are compared.
-KNOWN_NODES = 1_000_000
-#: Leaders of a bucket, and members of a bucket in one block of comparisons.
-LEADERS, BLOCK = 3, 256
+#: Nodes, and words, of a bucket that one task settles.
+BLOCK, BLOCK_WORDS = 128, 4_000_000
+#: Slots in which shingles are counted to order them, whatever the size of the corpus.
+SLOTS = 1 << 20
+#: Rows of a shingle that meet in one task.
+TOKEN_ROWS = 4096
 
 
 def node_of(own: list[bytes]) -> bytes:
@@ -47,48 +56,50 @@ def word_hashes(own: list[bytes]) -> np.ndarray:
 
 
 def prints(documents: DataFrame, tables: int, sample: int, size: int) -> DataFrame:
-    """(key, node, sketch): node and sketch are null for texts of no words. Of equal texts in a task
-    only the first has a sketch."""
+    """(key, node, n_words, sketch): node and sketch are null for texts of no words. Of equal texts in a
+    task only the first has a sketch."""
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in sliced(batches):
-            nodes, sketches = [], []
+            nodes, sizes, sketches = [], [], []
             for text in batch.column(1):
                 own = words(text.as_py())
                 node = node_of(own) if own else None
                 nodes.append(node)
+                sizes.append(len(own))
                 if node is None or node in seen:
                     sketches.append(None)
                 else:
                     if len(seen) < 50_000:
                         seen.add(node)
                     sketches.append(sketch(word_hashes(own), tables, sample, size).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["key", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["key", "node", "n_words", "sketch"])
+
+    return documents.mapInArrow(run, f"key {dict(documents.dtypes)['key']}, node binary, n_words long, sketch array<long>")
+
 
-    return documents.mapInArrow(run, f"key {dict(documents.dtypes)['key']}, node binary, sketch array<long>")
+def members(own: DataFrame) -> DataFrame:
+    """(bucket, block, blocks, node) of the buckets of several nodes, one of each set of equal buckets."""
+    one = own.filter("sketch is not null").groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
+    rows = one.select("node", "n_words", F.explode(F.array_distinct("sketch")).alias("bucket"))
+    signs = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"), *signs).filter("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_words") / BLOCK_WORDS)).cast("int")
+    buckets = several.groupBy("n", "n_words", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", parts.alias("blocks"))
+    return rows.join(buckets, "bucket").select("bucket", F.pmod(F.xxhash64("bucket", "node"), "blocks").cast("int").alias("block"), "blocks", "node")
 
 
 def sequences(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, words): the word hashes of one text for each of the nodes."""
-    n = nodes.count()
-    known = None
-    if n <= KNOWN_NODES:
-        start = nodes.select(F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long").alias("x"))
-        known = documents.sparkSession.sparkContext.broadcast(np.sort(start.toArrow().column(0).to_numpy()))
 
     def run(batches):
         seen: set[bytes] = set()
-        sent = None if known is None else known.value
         for batch in sliced(batches):
             out, own_words = [], []
             for text in batch.column(0):
                 own = words(text.as_py())
-                if not own:
-                    continue
-                node = node_of(own)
-                start = int.from_bytes(node[:7])
-                if node in seen or (sent is not None and ((at := np.searchsorted(sent, start)) == len(sent) or sent[at] != start)):
+                if not own or (node := node_of(own)) in seen:
                     continue
                 if len(seen) < 50_000:
                     seen.add(node)
@@ -97,53 +108,140 @@ def sequences(documents: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(own_words, pa.binary())], ["node", "words"])
 
     found = documents.select("text").mapInArrow(run, "node binary, words binary")
-    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+    return found.join(sent(nodes, nodes.count()), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]:
+    """Rows in sorted order, gathered while the first `by` columns are the same."""
+    last, rows = None, []
+    for batch in sliced(batches):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:by] != last and rows:
+                yield rows
+                rows = []
+            last = row[:by]
+            rows.append(row[by:])
+    if rows:
+        yield rows
+
+
+def settled(rows: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
+    """Links (a, b) that join the near copies of each block of the rows of `members`."""
+
+    def run(batches):
+        for group in groups_of(batches, 2):
+            found = links_within([np.frombuffer(w, np.uint32) for _, w in group], least, size)
+            if found:
+                ends = [pa.array([group[pair[k]][0] for pair in found], pa.binary()) for k in range(2)]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    both = rows.join(texts, "node").select("bucket", "block", "node", "words")
+    return spread(both, rows.count(), 2_000, "bucket", "block").sortWithinPartitions("bucket", "block", "node").mapInArrow(run, "a binary, b binary")
+
+
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How often shingles occur, counted in a fixed number of slots of their hashes."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in sliced(batches):
+            for w in batch.column(1):
+                slots, n = np.unique(labelled(shingles(np.frombuffer(w.as_py(), np.uint32), size)) % np.uint64(SLOTS), return_counts=True)
+                counts[slots.astype(np.int64)] += n
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], ["slot", "n"])
+
+    found = texts.select("node", "words").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
+def beginnings(texts: DataFrame, least: float, size: int) -> DataFrame:
+    """(token, place, node, label, size) of the first labelled shingles of texts (node, label, words), the
+    rarest first: near copies have one of them in common."""
+    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, size))
+
+    def run(batches):
+        for batch in sliced(batches):
+            tokens, places, rows, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
+            for w in batch.column(2):
+                x = labelled(shingles(np.frombuffer(w.as_py(), np.uint32), size))
+                n = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1
+                order = np.lexsort((x, counts.value[(x % np.uint64(SLOTS)).astype(np.int64)]))[:n]
+                tokens.append(x[order])
+                places.append(np.arange(len(order)))
+                rows.append(len(order))
+                sizes.append(len(x))
+            at = pa.array(np.repeat(np.arange(len(rows)), rows))
+            columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(np.array(sizes, np.int64), rows))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "place", "node", "label", "size"])
+
+    return texts.select("node", "label", "words").mapInArrow(run, "token long, place long, node binary, label binary, size long")
+
+
+def across(texts: DataFrame, least: float, size: int) -> DataFrame:
+    """Distinct (a, b) of texts (node, label, words) with different labels that may be near copies: they have
+    one of their first shingles in common, with enough of both behind it."""
+    first = kept(beginnings(texts, least, size), "beginnings")
+    tokens = first.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    tokens = tokens.filter("low <> high").select("token", F.ceil(F.col("n") / TOKEN_ROWS).cast("int").alias("salts"))
+    mixed = kept(first.join(tokens, "token"), "mixed")
+    a = mixed.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_a") for c in ("place", "node", "label", "size")))
+    b = mixed.withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
+    behind = F.least(F.col("size_a") - F.col("place_a"), F.col("size") - F.col("place"))
+    enough = behind >= least / (1 + least) * (F.col("size_a") + F.col("size")) - 1e-6
+    pairs = a.join(b, ["token", "salt"]).filter((F.col("label_a") < F.col("label")) & enough)
+    out = kept(pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    dropped(first, mixed)
+    return out
 
 
 def compared(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
-    """pairs (leader, node) with their similarity, null below the threshold."""
+    """Those of the pairs (a, b) that are near copies."""
 
     def run(batches):
         for batch in sliced(batches):
             both = [[shingles(np.frombuffer(w.as_py(), np.uint32), size) for w in pair] for pair in zip(batch.column(2), batch.column(3), strict=True)]
-            out = pa.array([similarity(a, b, least) for a, b in both], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], ["leader", "node", "similarity"])
-
-    with_a = pairs.join(texts.select(F.col("node").alias("leader"), F.col("words").alias("wa")), "leader")
-    both = with_a.join(texts.select("node", F.col("words").alias("wb")), "node")
-    return both.select("leader", "node", "wa", "wb").mapInArrow(run, "leader binary, node binary, similarity double")
-
-
-def with_company(rows: DataFrame) -> DataFrame:
-    """Distinct (bucket, node, n) of buckets of n > 1 nodes."""
-    rows = rows.select("bucket", "node").distinct()
-    return rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket")
-
-
-def leaders_of(live: DataFrame, shares: int) -> DataFrame:
-    """(bucket, leader, company): of each of some shares of a bucket's nodes that with the most company, counted over
-    all buckets of the node."""
-    company = live.groupBy("node").agg(F.sum("n").alias("company"))
-    share = F.pmod(F.xxhash64("node"), F.lit(shares))
-    best = [F.max(F.when(share == k, F.struct("company", "node"))) for k in range(shares)]
-    found = live.join(company, "node").groupBy("bucket").agg(F.array_compact(F.array(*best)).alias("best"))
-    return found.select("bucket", F.explode("best").alias("b")).select("bucket", F.col("b.node").alias("leader"), "b.company")
-
-
-def across(live: DataFrame, labels: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
-    """Distinct (leader, node), leader < node, of all pairs of a bucket's nodes with different labels (node, label)
-    whose sizes (node, size) can align. One of the two is outside the bucket's largest component, so only such
-    nodes are held against all members, and pairs within that component are never made."""
-    known = live.join(labels, "node", "left").join(sizes, "node").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"), "size")
-    parts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = kept(known.join(main.filter("parts > 1").select("bucket", "main"), "bucket"), "mixed")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    a = mixed.filter("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"))
-    b = mixed.select("bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), "main")
-    most = F.floor((F.col("sa") + F.col("sb")) * (1 - 2 * least / (1 + least)) + 1e-9)
-    pairs = a.join(b, ["bucket", "block"]).filter((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.abs(F.col("sa") - F.col("sb")) <= most))
-    return pairs.select(F.least("a", "b").alias("leader"), F.greatest("a", "b").alias("node")).distinct()
+            good = pa.array([near(a, b, least) for a, b in both], pa.bool_())
+            yield batch.select([0, 1]).filter(good)
+
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
+    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb")
+    return spread(both, pairs.count(), 2_000, "a", "b").mapInArrow(run, "a binary, b binary")
+
+
+def labelled_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """`nodes` with the label of each, itself where it has none."""
+    return nodes.join(sent(labels, labels.count()), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def classes_of(own: DataFrame, documents: DataFrame, least: float, size: int) -> DataFrame | None:
+    """(node, label) of the nodes that have near copies, or None if no two nodes share a bucket."""
+    rows = kept(members(own), "members")
+    if rows.isEmpty():
+        return None
+    texts = kept(sequences(documents, rows.select("node").distinct()), "texts")
+    links = kept(settled(rows, texts, least, size), "links")
+    labels = components(links)
+    large = kept(in_few(rows.filter("blocks > 1").select("node").distinct(), rows.count()), "large")
+    n = large.count()
+    if n:
+        pairs = across(labelled_nodes(texts.join(sent(large, n), "node", "left_semi"), labels), least, size)
+        more = kept(compared(pairs, texts, least, size), "links")
+        few = labels.count()
+        ends = more
+        for end in ("a", "b"):
+            of = sent(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), few)
+            ends = ends.join(of, end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+        upper = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        every = labels.union(more.select("a", "a").union(more.select("b", "b"))).groupBy("node").agg(F.min_by("label", F.col("node") == F.col("label")).alias("label"))
+        joined = every.join(sent(upper.select(F.col("node").alias("label"), F.col("label").alias("up")), upper.count()), "label", "left")
+        joined = kept(joined.select("node", F.coalesce("up", "label").alias("label")), "labels")
+        dropped(pairs, more, upper, labels)
+        labels = joined
+    dropped(rows, texts, links, large)
+    return labels
 
 
 def near_duplicates(
@@ -159,23 +257,10 @@ def near_duplicates(
     the first document of its class, the smallest key) and class_size."""
     rows = two_columns(documents, key, text)
     own = kept(prints(rows, tables, sample, size), "prints")
-    live = kept(with_company(own.filter("sketch is not null").select("node", F.explode("sketch").alias("bucket"))), "buckets")
-    texts = kept(sequences(rows, live.select("node").distinct()), "texts")
-    if live.isEmpty():
-        named = own.select("key", "node", F.col("node").alias("class"))
-    else:
-        leaders = leaders_of(live, LEADERS)
-        led = live.join(leaders, "bucket").filter("node <> leader").select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
-        tested = kept(compared(led, texts, least, size), "verified")
-        good = tested.filter("similarity is not null").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        labels = components(good)
-        sizes = texts.select("node", F.greatest(F.length("words") / 4 - (size - 1), F.lit(1)).cast("long").alias("size"))
-        rest = across(live, labels, sizes, least).join(tested.select("leader", "node"), ["leader", "node"], "left_anti")
-        more = kept(compared(rest, texts, least, size), "verified").filter("similarity is not null").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        if not more.isEmpty():
-            labels = components(good.unionByName(more))
-        named = own.filter("node is not null").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("class"))
-    first = named.filter("node is not null").groupBy("class").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "node")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    out = named.filter("node is not null").join(first, "class").select("key", "node", F.col("first.key").alias("class_key"), F.col("first.node").alias("class_node"), "class_size")
+    labels = classes_of(own, rows, least, size)
+    named = own.filter("node is not null").select("key", "node")
+    named = named.withColumn("class", F.col("node")) if labels is None else labelled_nodes(named, labels).withColumnRenamed("label", "class")
+    first = named.groupBy("class").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "node")).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    out = named.join(first, "class").select("key", "node", F.col("first.key").alias("class_key"), F.col("first.node").alias("class_node"), "class_size")
     alone = own.filter("node is null").select("key", "node", F.col("key").alias("class_key"), F.col("node").alias("class_node"), F.lit(1).cast("long").alias("class_size"))
     return out.unionByName(alone)

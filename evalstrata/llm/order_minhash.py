@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 SHINGLE, SAMPLE, TABLES, SIMILARITY = 5, 4, 24, 0.8
@@ -78,14 +80,33 @@ def distance_within(a: list, b: list, most: int) -> int | None:
     return None
 
 
+def apart(total: int, least: float) -> int:
+    """Shingles of two sequences, of `total` together, that may stay unaligned at the similarity `least`."""
+    return int(total * (1 - 2 * least / (1 + least)) + 1e-9)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float | None:
     """Of two sequences of shingles: the aligned over all, if that is at least `least`."""
     total = len(a) + len(b)
-    most = int(total * (1 - 2 * least / (1 + least)) + 1e-9)
+    d = distance_within(a.tolist(), b.tolist(), apart(total, least))
+    return None if d is None else (total - d) / (total + d)
+
+
+def near(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether `similarity` is at least `least`, without its value."""
+    total = len(a) + len(b)
+    most = apart(total, least)
     if abs(len(a) - len(b)) > most:
-        return None
+        return False
     if total - 2 * len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) > most:
-        return None  # even out of order they have too little in common
+        return False  # even out of order they have too little in common
+    return aligns(a, b, most)
+
+
+def aligns(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether an alignment leaves at most `most` shingles of both unaligned. Equal ends align. Between them
+    a chain of shingles that occur equally often in both, on the band of diagonals that `most` leaves open,
+    is an alignment; if it isn't good enough, the best one on that band decides."""
     short = min(len(a), len(b))
     differs = np.flatnonzero(a[:short] != b[:short])
     head = int(differs[0]) if len(differs) else short
@@ -93,8 +114,72 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     short = min(len(ra), len(rb))
     differs = np.flatnonzero(ra[:short] != rb[:short])
     tail = int(differs[0]) if len(differs) else short
-    d = distance_within(a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist(), most)
-    if d is None:
-        return None
-    common = (total - d) / 2
-    return common / (total - common)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(a) + len(b) <= most:
+        return True
+    _, i, j = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
+    close = np.abs(i - j) <= most
+    i, j = i[close], j[close]
+    ends: list[int] = []
+    for y in j[np.argsort(i)].tolist():  # the longest rising chain
+        at = bisect_left(ends, y)
+        if at == len(ends):
+            ends.append(y)
+        else:
+            ends[at] = y
+    if len(a) + len(b) - 2 * len(ends) <= most:
+        return True
+    return distance_within(a.tolist(), b.tolist(), most) is not None
+
+
+#: Cells of a table of members and shingles that is multiplied at once.
+CELLS = 4_000_000
+
+
+def common_counts(codes: list[np.ndarray]) -> np.ndarray:
+    """For each two of some sets of labelled shingles the number of common ones."""
+    n = len(codes)
+    flat, owner = np.concatenate(codes), np.repeat(np.arange(n), [len(c) for c in codes])
+    kind, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    use = shared[code]
+    code, owner = number[code[use]], owner[use]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out, several = np.zeros((n, n)), int(shared.sum())
+    width = min(several, max(1, CELLS // n))
+    for start in range(0, several, width or 1):
+        a, b = np.searchsorted(code, [start, start + width])
+        table = np.zeros((n, width), np.float32)
+        table[owner[a:b], code[a:b] - start] = 1
+        out += table @ table.T
+    return out
+
+
+def links_within(texts: list[np.ndarray], least: float = SIMILARITY, size: int = SHINGLE) -> list[tuple[int, int]]:
+    """Links that join those of some texts (word hashes) which near copies join, a spanning forest: all
+    pairs are held against the bound by common shingles, and what may reach `least` is aligned, unless
+    the two are joined already."""
+    own = [shingles(w, size) for w in texts]
+    if len(own) == 2:
+        return [(0, 1)] if near(*own, least) else []
+    common = common_counts([labelled(x) for x in own])
+    n = np.array([len(x) for x in own])
+    total = n[:, None] + n[None, :]
+    spare = np.floor(total * (1 - 2 * least / (1 + least)) + 1e-9) - (total - 2 * common)
+    a, b = np.nonzero(np.triu(spare >= 0, 1))
+    order = np.argsort(-spare[a, b] / total[a, b], kind="stable")
+    up, out = list(range(len(own))), []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = top(i), top(j)
+        if x != y and aligns(own[i], own[j], apart(len(own[i]) + len(own[j]), least)):
+            up[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out

@@ -5,10 +5,12 @@ import random
 import numpy as np
 import pytest
 
+from evalstrata.llm import common
+from evalstrata.llm import near_duplicates as nd
 from evalstrata.llm.common import words
 from evalstrata.llm.components import components
 from evalstrata.llm.near_duplicates import near_duplicates, word_hashes
-from evalstrata.llm.order_minhash import distance_within, labelled, shingles, similarity, sketch
+from evalstrata.llm.order_minhash import apart, common_counts, distance_within, labelled, links_within, mixed, near, shingles, similarity, sketch
 
 
 def lcs(a, b):
@@ -110,6 +112,81 @@ def test_copies_of_copies(spark):
     assert {r.key: r.class_key for r in near_duplicates(docs, tables=1, sample=1).collect()} == want
 
 
+def test_near_is_the_similarity_without_its_value():
+    rng = random.Random(4)
+    for _ in range(400):
+        a = [rng.randrange(12) for _ in range(rng.randrange(1, 40))]
+        b = [rng.randrange(12) if rng.random() < 0.1 else x for x in a] if rng.random() < 0.7 else rng.sample(a, len(a))
+        if rng.random() < 0.3:
+            b = b[rng.randrange(len(b)) :]
+        x, y = (mixed(np.array(v, np.uint64) + np.uint64(1)) for v in (a, b))
+        assert near(x, y) == (similarity(x, y) is not None)
+        assert near(x, y) == (len(a) + len(b) - 2 * lcs(a, b) <= apart(len(a) + len(b), 0.8))
+
+
+def test_common_counts_over_parts_of_the_table(monkeypatch):
+    from evalstrata.llm import order_minhash
+
+    rng = np.random.default_rng(5)
+    sets = [rng.choice(300, rng.integers(1, 90), replace=False).astype(np.uint64) for _ in range(9)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for cells in (9, 100, 10**6):
+        monkeypatch.setattr(order_minhash, "CELLS", cells)
+        got = common_counts(sets)
+        assert all(got[i, j] == want[i][j] for i in range(9) for j in range(9) if i != j)
+    assert links_within([np.arange(30, dtype=np.uint32)] * 3)
+
+
+def variants(n, changes, rng, length=120):
+    """Texts with some words of one text changed, more or fewer, then chains of copies of copies that drift away:
+    bridges between groups that have no copy in common."""
+    vocabulary = [f"w{k}" for k in range(9000)]
+    base = [rng.choice(vocabulary) for _ in range(length)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(*changes)):
+            w[rng.randrange(length)] = rng.choice(vocabulary)
+        out.append(w)
+    for start in rng.sample(out, 5):
+        w = start
+        for _ in range(12):
+            w = list(w)
+            for _ in range(2):
+                w[rng.randrange(length)] = rng.choice(vocabulary)
+            out.append(w)
+    rng.shuffle(out)
+    return [(k, " ".join(w)) for k, w in enumerate(out)]
+
+
+@pytest.mark.parametrize(("n", "block", "few"), [(300, 16, 0), (300, 10**4, 10**5), (2000, 128, 10**5)])
+def test_one_large_group_of_near_copies(spark, monkeypatch, n, block, few):
+    """The same classes as all pairs, whether a bucket is settled whole or in blocks, and whether small frames
+    are broadcast or shuffled."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(common, "SENT", few)
+    rows = variants(n, (0, 7), random.Random(n))
+    own = [labelled(shingles(word_hashes(words(t)))) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    common_n, size = common_counts(own), np.array([len(x) for x in own])
+    spare = (1 - 1.6 / 1.8) * (size[:, None] + size[None, :]) + 1e-9 - (size[:, None] + size[None, :] - 2 * common_n)
+    for i, j in zip(*np.nonzero(np.triu(spare >= 0, 1)), strict=True):  # words are distinct, so order is kept
+        x, y = top(i), top(j)
+        up[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.key: r.class_key for r in nd.near_duplicates(docs).collect()}
+    want = {i: top(i) for i, _ in rows}
+    wrong = sum(got[i] != want[i] for i in want)
+    assert len(set(want.values())) > 20
+    assert wrong <= 0.002 * n
+
+
 def test_repeated_and_null_keys(spark):
     text = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(3, text), (3, text), (None, text), (9, text + " more")], "doc_id long, text string")
