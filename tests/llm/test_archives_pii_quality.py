@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evalstrata.llm import common
 from evalstrata.llm.factorisation import FACTORS, SIZE, Machine, features, fit, score_quality, train
 from evalstrata.llm.pii import find_pii, instance_scores, listed, mask_pii, with_spans
 from evalstrata.llm.warc import salvage
@@ -35,6 +36,21 @@ def test_archives_round_trip(pages):
     assert archived_pages(pages.limit(0)).count() == 0
 
 
+def test_one_page_id_with_two_payloads(spark, tmp_path, monkeypatch):
+    """Each revisit comes back with the payload it refers to, and archives stay below their bytes."""
+    a, b = "a" * 200, "b" * 300
+    rows = [(1, "u", a), (1, "u", b), (2, "u", a), (3, "u", b), (None, "u", a)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for few in (0, 10**5):
+        monkeypatch.setattr(common, "SENT", few)
+        got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or "") for r in archived_pages(pages).collect())
+        digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in (a, b)}
+        want = [("", 200, digest[a], "revisit", "1"), ("1", 200, digest[a], "response", ""), ("1", 300, digest[b], "response", ""), ("2", 200, digest[a], "revisit", "1"), ("3", 300, digest[b], "revisit", "1")]
+        assert got == want
+    write_warc(pages, str(tmp_path / "w"), file_bytes=10_000)
+    assert len(list((tmp_path / "w").glob("part-*"))) == 3
+
+
 def record(k: int, body: bytes) -> bytes:
     digest = hashlib.sha256(body).hexdigest().encode()
     return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Block-Digest: sha256:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, digest, len(body), body)
