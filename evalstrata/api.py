@@ -39,7 +39,7 @@ def evaluate(spark: SparkSession, dataset: str, task: str, out: str, factory: Ca
         draft.write_text(json.dumps(manifest, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
         draft.replace(path)
     examples = jsonl.load_dataset(spark, dataset, task)
-    before = jsonl.read_results(spark, f"{out}/{RESULTS}") if any(Path(out, RESULTS).glob("part-*")) else spark.createDataFrame([], jsonl.RECORD).drop("damaged")
+    before = jsonl.read_results(spark, f"{out}/{RESULTS}")
     jsonl.write_results(runs.predict(runs.pending(examples, before), factory, limit), f"{out}/{RESULTS}")
     return score_finished_run(spark, dataset, task, out)
 

@@ -1,15 +1,17 @@
 """JSON-lines datasets and run logs.
 
 A dataset line is parsed by Python's own JSON rules in one Arrow pass, which also yields the exact
-reason of each bad line; what follows is relational. Line numbers are those of the file: small files
-are split from their whole text, so blank lines count, and large ones are numbered by partition.
+reason of each bad line; what follows is relational. Files of any size are read as lines by splits; a
+row for each split, with the lines it holds, turns places in splits into line numbers of the files.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,40 +23,54 @@ from ..functions.text import ALIASES, LANGUAGES
 TASKS = ("generation", "classification", "asr")
 ROLES = ("system", "user", "assistant")
 KEYS = {"id", "input", "messages", "audio", "reference", "lang", "meta"}
-#: Files up to this size are read as one text.
-WHOLE = 256 << 20
+#: Below the folder of a run log, a folder for each session that appended to it.
+SESSION = "run-"
 
 EXAMPLE = (
     "line long, id string, messages array<struct<role:string,content:string>>, audio string, reference string, lang string, meta string, error string"
 )
-RECORD = "line long, id string, prediction string, latency_ms double, error string, request_id string, damaged boolean"
+RECORD = "file string, line long, at long, id string, prediction string, latency_ms double, error string, request_id string, damaged boolean"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of the non-blank lines of a text file, numbered from 1, split at line feeds only, a
-    leading byte order mark removed. Bytes that aren't UTF-8 are an error with their place."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    size = files.agg(F.sum("length")).first()[0]
-    if size is None:
-        raise DatasetError(f"{path} can't be read.")
-    if size <= WHOLE:
-        content = spark.read.format("binaryFile").load(path).select("content")
-        bad = content.select(F.expr("try_validate_utf8(cast(content as string)) is null").alias("bad")).filter("bad").limit(1).count()
-        if bad:
-            raw = bytes(content.first()[0])
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, at, value) of the non-blank lines of a text file, or of all files below a folder: the number
+    in the file, from 1, and the place in all of them in the order of sessions, of the times of writing, and of
+    names. Lines end at line feeds only; a leading byte order mark is removed. Bytes that aren't UTF-8 are an
+    error with their place."""
+    meta = {"file": "file_path", "start": "file_block_start", "changed": "file_modification_time"}
+    try:
+        text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+        text = text.select("value", *(F.col(f"_metadata.{v}").alias(k) for k, v in meta.items()), F.monotonically_increasing_id().alias("id"))
+        bad = F.min(F.when(~F.is_valid_utf8("value"), F.col("id")))
+        splits = text.groupBy("file", "start", "changed").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), bad.alias("bad")).collect()  # a row a split
+    except AnalysisException:
+        raise DatasetError(f"{path} can't be read.") from None
+    session = lambda file: int(found[-1]) if (found := re.findall(f"/{SESSION}([0-9]+)/", file)) else 0
+    places, at, line, last = [], 0, 0, None
+    for r in sorted(splits, key=lambda r: (session(r.file), r.changed, r.file, r.start)):
+        line, last = line if r.file == last else 0, r.file
+        places.append((r.file, r.start, r.first, line, at))
+        if r.bad is not None:
+            number = line + r.bad - r.first + 1
+            value = bytes(text.filter((F.col("file") == r.file) & (F.col("id") == r.bad)).select(F.col("value").cast("binary")).first()[0])
             try:
-                raw.decode()
+                value.decode()
             except UnicodeDecodeError as e:
-                raise DatasetError(f"{path} isn't UTF-8: byte {e.start}.") from None
-        value = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-        rows = content.select(F.posexplode(F.split(value, "\n")).alias("at", "value")).select((F.col("at") + 1).cast("long").alias("line"), "value")
-    else:
-        text = spark.read.option("lineSep", "\n").text(path).withColumn("_id", F.monotonically_increasing_id())
-        part = F.shiftright("_id", 33)
-        counts = text.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-        offset = counts.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_o"))
-        rows = text.join(F.broadcast(offset), part == F.col("_p")).select((F.col("_o") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias("line"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    return rows.filter(~F.col("value").rlike(r"(?U)^[\s\x1c-\x1f]*$"))
+                raise DatasetError(f"{r.file} isn't UTF-8: line {number}, byte {e.start}.") from None
+        line, at = line + r.n, at + r.n
+    if not places:
+        places.append(("", 0, 0, 0, 0))
+    place = spark.createDataFrame(places, "file string, start long, first long, lines long, before long")
+    rows = text.join(F.broadcast(place), ["file", "start"])
+    nth = F.col("id") - F.col("first") + 1
+    rows = rows.select("file", (F.col("lines") + nth).alias("line"), (F.col("before") + nth).alias("at"), "value")
+    value = F.when(F.col("line") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return rows.withColumn("value", value).filter(~F.col("value").rlike(r"(?U)^[\s\x1c-\x1f]*$"))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of the non-blank lines of a text file."""
+    return numbered(spark, path).select("line", "value")
 
 
 def parse_line(value: str, task: str) -> dict:
@@ -122,19 +138,21 @@ def parse_line(value: str, task: str) -> dict:
 
 
 def _mapped(rows: DataFrame, one, ddl: str) -> DataFrame:
+    """Rows with the fields that `one` makes of their value; columns of `rows` that `ddl` names stay."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
+    own = [c for c in rows.columns if c in schema.names]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = [{"line": n} | one(v) for n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([m.get(f.name) for m in made], f.type) for f in arrow], schema=arrow)
+            made = [one(v) for v in batch.column(len(own)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(own.index(f.name)) if f.name in own else pa.array([m.get(f.name) for m in made], f.type) for f in arrow], schema=arrow)
 
-    return rows.select("line", "value").mapInArrow(run, schema)
+    return rows.select(*own, "value").mapInArrow(run, schema)
 
 
 def parse_dataset(spark: SparkSession, path: str, task: str) -> tuple[DataFrame, DataFrame]:
@@ -195,19 +213,20 @@ def parse_record(value: str) -> dict:
 
 def latest(records: DataFrame) -> DataFrame:
     """The last record of each id."""
-    best = F.max_by(F.struct(*(F.col(c) for c in records.columns)), "line").alias("r")
+    best = F.max_by(F.struct(*(F.col(c) for c in records.columns)), "at").alias("r")
     return records.groupBy("id").agg(best).select("r.*")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """The last record of each id of a run log. A damaged last line is ignored, one before it is an error;
-    a log that doesn't exist has no records."""
+    """The last record of each id of a run log, a file or a folder of what several sessions appended. A damaged
+    last line of a file is ignored, one before it is an error; a log that doesn't exist has no records."""
     if not exists(spark, path):
         return spark.createDataFrame([], RECORD).drop("damaged")
-    parsed = _mapped(lines(spark, path), parse_record, RECORD)
-    last = parsed.agg(F.max("line").alias("last"), F.min(F.when(F.col("damaged"), F.col("line"))).alias("bad")).first()
-    if last.bad is not None and last.bad < last.last:
-        raise RunError(f"{path}: line {last.bad} is damaged.", "Restore it or start a new run.")
+    parsed = _mapped(numbered(spark, path), parse_record, RECORD)
+    ends = parsed.groupBy("file").agg(F.max("line").alias("last"), F.min(F.when(F.col("damaged"), F.col("line"))).alias("bad"))
+    worst = ends.filter("bad < last").orderBy("file").first()
+    if worst is not None:
+        raise RunError(f"{worst.file}: line {worst.bad} is damaged.", "Restore it or start a new run.")
     return latest(parsed.filter(~F.col("damaged"))).drop("damaged")
 
 
@@ -231,6 +250,13 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return found
 
 
-def write_results(records: DataFrame, path: str) -> None:
-    """Appends records as JSON lines."""
-    records.select("id", "prediction", "latency_ms", "error", "request_id").write.mode("append").json(path)
+def write_results(records: DataFrame, path: str) -> str:
+    """Appends records as JSON lines, as a session's own folder with the next number; returns that folder."""
+    spark, jvm = records.sparkSession, records.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    before = [int(n.removeprefix(SESSION)) for n in names if re.fullmatch(f"{SESSION}[0-9]+", n)]
+    folder = f"{path}/{SESSION}{max(before, default=0) + 1:06d}"
+    records.select("id", "prediction", "latency_ms", "error", "request_id").write.json(folder)
+    return folder

@@ -11,17 +11,21 @@ RECORD = "id string, prediction string, latency_ms double, error string, request
 
 
 def read_log(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Records of a folder of JSON-lines files as a stream; damaged lines are left out."""
-    reader = spark.readStream.schema(RECORD + ", _damaged string").option("columnNameOfCorruptRecord", "_damaged").option("mode", "PERMISSIVE")
+    """Records of a folder of JSON-lines files as a stream, each with its place in the log: when its file was
+    written, the file, and the place of the line in it. Damaged lines are left out."""
+    reader = spark.readStream.option("lineSep", "\n")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path).filter("_damaged is null and id is not null").drop("_damaged")
+    text = reader.text(path)
+    place = F.struct(*(F.col(f"_metadata.{n}").alias(n) for n in ("file_modification_time", "file_path", "file_block_start")), F.monotonically_increasing_id().alias("row"))
+    rows = text.select(F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r"), place.alias("place"))
+    return rows.filter("r.id is not null").select("r.*", "place")
 
 
 def latest_by_id(records: DataFrame) -> DataFrame:
-    """The record of each id that came last, by time of arrival; state is one record an id."""
-    stamped = records.withColumn("_at", F.current_timestamp())
-    return stamped.groupBy("id").agg(F.max_by(F.struct("prediction", "latency_ms", "error", "request_id"), "_at").alias("r")).select("id", "r.*")
+    """The record of each id that comes last in the log, also among those of one batch; state is one record an id."""
+    best = F.max_by(F.struct("prediction", "latency_ms", "error", "request_id"), "place").alias("r")
+    return records.groupBy("id").agg(best).select("id", "r.*")
 
 
 def failure_counts(events: DataFrame, time: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -53,4 +57,4 @@ def breaker_states(records: DataFrame, limit: int) -> DataFrame:
 
 def append_to(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes a stream of records as JSON lines; after a restart each record is written once."""
-    return records.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+    return records.drop("place").writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()

@@ -43,7 +43,7 @@ def runs(spark, tmp_path_factory):
 def test_evaluate_and_resume(spark, runs):
     found = api.score_finished_run(spark, str(runs / "d.jsonl"), "generation", str(runs / "base"))
     assert found["counts"]["n_ok"] == 64 and {m["mean"] for m in found["metrics"] if m["metric"] == "exact_match"} == {1.0}
-    before = len(list((runs / "base" / "results").glob("part-*.json")))
+    before = len(list((runs / "base" / "results").rglob("part-*.json")))
     again = api.evaluate(spark, str(runs / "d.jsonl"), "generation", str(runs / "base"), Upper)
     assert again["counts"] == found["counts"] and before >= 1
     (runs / "other.jsonl").write_text('{"input": "x", "reference": "y"}\n')
@@ -124,14 +124,14 @@ def test_streams(spark, tmp_path):
     (log / "1.json").write_text('{"id": "a", "error": "x"}\n{broken\n')
     q = runlog.latest_by_id(runlog.read_log(spark, str(log))).writeStream.format("memory").queryName("latest").outputMode("complete").start()
     q.processAllAvailable()
-    (log / "2.json").write_text('{"id": "a", "prediction": "p"}\n{"id": "b", "prediction": "q"}\n')
+    (log / "2.json").write_text('{"id": "a", "prediction": "early"}\n{"id": "a", "prediction": "p"}\n{"id": "b", "prediction": "q"}\n')
     q.processAllAvailable()
     q.stop()
     assert {r.id: r.prediction for r in spark.table("latest").collect()} == {"a": "p", "b": "q"}
     out = runlog.append_to(runlog.read_log(spark, str(log)), str(tmp_path / "out"), str(tmp_path / "ck"))
     out.processAllAvailable()
     out.stop()
-    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    assert spark.read.json(str(tmp_path / "out")).count() == 4
     e = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet("/root/testdata/sf0.001/events.parquet*")
     w = runlog.failure_counts(e, "ts").writeStream.format("memory").queryName("fails").outputMode("append").start()
     w.processAllAvailable()

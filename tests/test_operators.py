@@ -207,15 +207,37 @@ def test_dataset_lines(spark, tmp_path):
     assert jsonl.load_dataset(spark, write(tmp_path, "crlf.jsonl", [], raw=b'{"input": "a"}\r\n{"input": "b"}\r\n'), "generation").count() == 2
 
 
-def test_large_files_keep_line_numbers(spark, tmp_path, monkeypatch):
-    path = write(tmp_path, "l.jsonl", [{"input": f"q{i}"} if i % 3 else "" for i in range(1000)])
-    whole = {(r.line, r.value) for r in jsonl.lines(spark, path).collect()}
-    monkeypatch.setattr(jsonl, "WHOLE", 0)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
-    try:
-        assert {(r.line, r.value) for r in jsonl.lines(spark, path).collect()} == whole
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+def test_large_files_keep_line_numbers(spark, tmp_path):
+    """Files of any number of splits are read alike: numbers, byte order mark, errors."""
+    rows = [json.dumps({"input": f"q{i} \ufeff"}) if i % 3 else "" for i in range(1000)]
+    path = write(tmp_path, "l.jsonl", ["\ufeff" + json.dumps({"input": "q"}), *rows])
+    broken = write(tmp_path, "b.jsonl", [], raw=b"\n".join([b"{}"] * 800 + [b"{}\xff"] + [b"{}"] * 300))
+    found = []
+    for size in ("134217728", "900"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found.append({(r.line, r.value) for r in jsonl.lines(spark, path).collect()})
+            with pytest.raises(DatasetError, match="line 801, byte 2"):
+                jsonl.lines(spark, broken)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == {(1, json.dumps({"input": "q"})), *((i + 2, r) for i, r in enumerate(rows) if r)}
+    with pytest.raises(DatasetError):
+        jsonl.lines(spark, str(tmp_path / "nothing.jsonl"))
+
+
+def test_resumed_log(spark, tmp_path):
+    """What a later session appended stands, though its files are shorter."""
+    log, answer = str(tmp_path / "log"), lambda *rows: spark.createDataFrame([(i, p, 1.0, e, None) for i, p, e in rows], runs.ANSWER).coalesce(1)
+    jsonl.write_results(answer(("a", "x", None), ("b", "y", None), ("c", None, "timeout")), log)
+    jsonl.write_results(answer(("c", "good", None)), log)
+    got = {r.id: (r.prediction, r.error) for r in jsonl.read_results(spark, log).collect()}
+    assert got == {"a": ("x", None), "b": ("y", None), "c": ("good", None)}
+    second = next((tmp_path / "log" / "run-000002").glob("part-*"))
+    for crc in second.parent.glob(".*.crc"):
+        crc.unlink()
+    second.write_text('{"id": "c", "prediction": "good"}\n{"id": "a", "pred')
+    assert {r.id: r.prediction for r in jsonl.read_results(spark, log).collect()} == {"a": "x", "b": "y", "c": "good"}
 
 
 def test_speech_and_classification_rules(spark, tmp_path):
