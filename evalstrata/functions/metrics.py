@@ -7,15 +7,15 @@ value is null, never zero.
 from __future__ import annotations
 
 import string
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from ..errors import ConfigError
-from .text import words
+from .text import collapsed, words
 
 CHAR_ORDER, BETA = 6, 2
 LOWER_IS_BETTER = frozenset({"wer", "cer"})
@@ -36,14 +36,48 @@ def exact_match(pred: Column, ref: Column) -> Column:
     return (pred == ref).cast("double")
 
 
+def common_start(a: Column, b: Column) -> Column:
+    """How many signs two texts have in common at their start (of the first two million): by halves."""
+    same = lambda at, n: F.substring(a, at + 1, n) == F.substring(b, at + 1, n)
+    found = F.aggregate(F.array(*(F.lit(1 << k) for k in range(20, -1, -1))), F.lit(0), lambda at, n: F.when(same(at, n), at + n).otherwise(at))
+    return F.least(found, F.length(a), F.length(b))
+
+
+def edits(pred: Column, ref: Column) -> Column:
+    """Edit distance in signs, of what is left between the common start and the common end, which is the same
+    as of the whole."""
+    start = common_start(ref, pred)
+    rest = F.struct(F.reverse(F.substr(ref, start + 1)).alias("r"), F.reverse(F.substr(pred, start + 1)).alias("p"))
+    middle = F.transform(F.array(rest), lambda x: _distance(x["r"], x["p"]))[0]
+    return F.when(pred == ref, 0).otherwise(middle)
+
+
+def _distance(r: Column, p: Column) -> Column:
+    end = common_start(r, p)
+    return F.levenshtein(F.substr(r, end + 1), F.substr(p, end + 1))
+
+
+def _without_start(r: Column, p: Column) -> Column:
+    """Two texts of words with single blanks, reversed and without the words that both start with."""
+    r, p = F.concat(r, F.lit(" ")), F.concat(p, F.lit(" "))
+    both = F.substring(r, F.lit(1), common_start(r, p))
+    cut = F.length(both) - F.length(F.substring_index(both, " ", -1)) + 1
+    turned = lambda t: F.reverse(F.rtrim(F.substr(t, cut)))
+    return F.struct(turned(r).alias("r"), turned(p).alias("p"))
+
+
 def word_edits(pred: Column, ref: Column) -> Column:
-    """Word-level edit distance: each distinct word of the pair becomes one character, and the built-in
-    distance does the rest. Up to some 20,000 distinct words a pair."""
-    p, r = words(pred), words(ref)
-    vocabulary = F.array_distinct(F.concat(r, p))
-    sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 19967), 4, "0")), "UTF-16BE")
-    coded = lambda ws: F.array_join(F.transform(ws, sign), "")
-    return F.levenshtein(coded(r), coded(p))
+    """Word-level edit distance of what is left between the words that both start and end with: each distinct
+    word of the rest becomes one character beyond the basic plane (up to a million), and the built-in distance
+    does the rest. White space is made single blanks first."""
+    r, p = collapsed(ref), collapsed(pred)
+    inner = F.transform(F.array(F.struct(r.alias("r"), p.alias("p"))), lambda x: _without_start(x["r"], x["p"]))
+    inner = F.transform(inner, lambda x: _without_start(x["r"], x["p"]))
+    split = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+    lists = F.transform(inner, lambda x: F.struct(split(x["r"]).alias("r"), split(x["p"]).alias("p"), F.array_distinct(split(F.concat(x["r"], F.lit(" "), x["p"]))).alias("words")))
+    sign = lambda w, known: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")
+    coded = lambda ws, known: F.array_join(F.transform(ws, lambda w: sign(w, known)), "")
+    return F.transform(lists, lambda x: F.levenshtein(coded(x["r"], x["words"]), coded(x["p"], x["words"])))[0]
 
 
 def rate(edits: Column, length: Column, pred: Column) -> Column:
@@ -56,7 +90,7 @@ def wer(pred: Column, ref: Column) -> Column:
 
 
 def cer(pred: Column, ref: Column) -> Column:
-    return rate(F.levenshtein(ref, pred), F.length(ref), pred)
+    return rate(edits(pred, ref), F.length(ref), pred)
 
 
 def pooled_rate(edits: Column, length: Column) -> Column:
@@ -65,35 +99,54 @@ def pooled_rate(edits: Column, length: Column) -> Column:
     return F.sum(F.when(length > 0, edits)) / F.when(total > 0, total)
 
 
-def chrf_counts(text: str, word_order: int) -> list[Counter]:
-    bare = "".join(text.split())
-    out = [Counter(bare[i : i + n] for i in range(len(bare) - n + 1)) for n in range(1, CHAR_ORDER + 1)]
-    if word_order:
-        tokens = []
-        for w in text.split():  # one sign of punctuation is split off the end, or else off the start
-            if len(w) > 1 and w[-1] in string.punctuation:
-                tokens += [w[:-1], w[-1]]
-            elif len(w) > 1 and w[0] in string.punctuation:
-                tokens += [w[0], w[1:]]
-            else:
-                tokens.append(w)
-        out += [Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)) for n in range(1, word_order + 1)]
+def chrf_tokens(text: str) -> list[str]:
+    """Words, of which one sign of punctuation is split off the end, or else off the start."""
+    out = []
+    for w in text.split():
+        if len(w) > 1 and w[-1] in string.punctuation:
+            out += [w[:-1], w[-1]]
+        elif len(w) > 1 and w[0] in string.punctuation:
+            out += [w[0], w[1:]]
+        else:
+            out.append(w)
+    return out
+
+
+def gram_counts(a: list | np.ndarray, b: list | np.ndarray, orders: int) -> list[int]:
+    """For each order (in answer, in reference, in both) of n-grams of two sequences of items: n-grams are
+    numbered from the numbers of those one shorter, so equal numbers are equal n-grams."""
+    one = np.unique(np.concatenate([a, b]), return_inverse=True)[1].astype(np.int64)
+    kinds, out = int(one.max(initial=0)) + 1, []
+    first, second = one[: len(a)], one[len(a) :]
+    x, y = first, second
+    for n in range(1, orders + 1):
+        if n > 1:
+            x, y = x[:-1] * kinds + first[n - 1 :], y[:-1] * kinds + second[n - 1 :]
+            number = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+            x, y = number[: len(x)], number[len(x) :]
+        size = max(int(x.max(initial=0)), int(y.max(initial=0))) + 1
+        both = np.minimum(np.bincount(x, minlength=size), np.bincount(y, minlength=size)).sum()
+        out += [len(x) if len(y) else 0, len(y), int(both)]
     return out
 
 
+def chrf_pair(pred: str, ref: str, word_order: int) -> list[int]:
+    """The statistics of one pair."""
+    bare, words_too = ("".join(t.split()) for t in (pred, ref)), []
+    if word_order:
+        tokens = [chrf_tokens(t) for t in (pred, ref)]
+        number = {w: i for i, w in enumerate(dict.fromkeys([*tokens[0], *tokens[1]]))}
+        words_too = gram_counts(*(np.array([number[w] for w in own], np.int64) for own in tokens), word_order)
+    return gram_counts(*(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in bare), CHAR_ORDER) + words_too
+
+
 def chrf_statistics(pred: Column, ref: Column, word_order: int = 0) -> Column:
     """Array of (in answer, in reference, in both) for each n-gram order; the answer's n-grams don't count
     where the reference has none of the order. Counting within a row keeps
     n-grams out of the shuffle; Arrow carries the rows."""
     @F.pandas_udf(ArrayType(LongType()))
     def f(p: pd.Series, r: pd.Series) -> pd.Series:
-        rows = []
-        for a, b in zip(p, r, strict=True):
-            own = []
-            for x, y in zip(chrf_counts(a or "", word_order), chrf_counts(b or "", word_order), strict=True):
-                own += [x.total() if y else 0, y.total(), sum(min(n, y[g]) for g, n in x.items() if g in y)]
-            rows.append(own)
-        return pd.Series(rows)
+        return pd.Series([chrf_pair(a or "", b or "", word_order) for a, b in zip(p, r, strict=True)])
 
     return f(pred, ref)
 

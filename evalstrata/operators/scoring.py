@@ -104,7 +104,7 @@ def with_statistics(viewed: DataFrame, names: list[str]) -> DataFrame:
     if "wer" in names:
         extra |= {"_we": m.word_edits(p, r), "_wn": F.size(words(r))}
     if "cer" in names:
-        extra |= {"_ce": F.levenshtein(r, p), "_cn": F.length(r)}
+        extra |= {"_ce": m.edits(p, r), "_cn": F.length(r)}
     return viewed.withColumns(extra) if extra else viewed
 
 

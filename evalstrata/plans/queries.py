@@ -76,7 +76,7 @@ def latency_stats(spark, sf_dir):
 def cer_pooled(spark, sf_dir):
     p, r = F.col("p"), F.col("r")
     v = both_views(spark, sf_dir)
-    return v.groupBy("view").agg(F.round(m.pooled_rate(F.levenshtein(r, p), F.length(r)), 6).alias("cer"), F.round(F.avg(m.cer(p, r)), 6).alias("mean_cer"))
+    return v.groupBy("view").agg(F.round(m.pooled_rate(m.edits(p, r), F.length(r)), 6).alias("cer"), F.round(F.avg(m.cer(p, r)), 6).alias("mean_cer"))
 
 
 @query

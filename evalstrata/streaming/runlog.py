@@ -12,13 +12,13 @@ RECORD = "id string, prediction string, latency_ms double, error string, request
 
 def read_log(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Records of a folder of JSON-lines files as a stream, each with its place in the log: when its file was
-    written, the file, and the place of the line in it. Damaged lines are left out."""
-    reader = spark.readStream.option("lineSep", "\n")
+    written, the file, and the line in it. Files are read whole, which gives lines their numbers, so a writer
+    should keep them small. Damaged lines are left out."""
+    reader = spark.readStream.option("wholetext", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    text = reader.text(path)
-    place = F.struct(*(F.col(f"_metadata.{n}").alias(n) for n in ("file_modification_time", "file_path", "file_block_start")), F.monotonically_increasing_id().alias("row"))
-    rows = text.select(F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r"), place.alias("place"))
+    files = reader.text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value"), F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"))
+    rows = files.select(F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r"), F.struct("written", "file", "line").alias("place"))
     return rows.filter("r.id is not null").select("r.*", "place")
 
 
