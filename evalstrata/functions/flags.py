@@ -49,12 +49,16 @@ def tokens(text: Column) -> Column:
 
 
 def repeats(answer: Column) -> Column:
-    w = tokens(answer)
-    n = F.size(w)
-    dominant = (n >= 8) & (most_often(w) >= n * DOMINANT)
-    places = F.when(n >= PHRASE, F.sequence(F.lit(1), F.greatest(n - PHRASE + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    phrases = F.transform(places, lambda i: F.array_join(F.slice(w, i, PHRASE), " "))
-    return dominant | ((n >= PHRASE * REPEATS) & (most_often(phrases) >= REPEATS))
+    """The words are bound once: an expression that a lambda names is worked out for each element."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        dominant = (n >= 8) & (most_often(w) >= n * DOMINANT)
+        places = F.when(n >= PHRASE, F.sequence(F.lit(1), F.greatest(n - PHRASE + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        phrases = F.transform(places, lambda i: F.array_join(F.slice(w, i, PHRASE), " "))
+        return dominant | ((n >= PHRASE * REPEATS) & (most_often(phrases) >= REPEATS))
+
+    return F.transform(F.array(tokens(answer)), of)[0]
 
 
 def truncated(reference: Column, prediction: Column, answer: Column) -> Column:

@@ -1,7 +1,7 @@
 """Examples and runs derived from the driver's tables by plain arithmetic, the same in SQL.
 
-examples: id = pos = doc_id, reference = the first twelve words of the text, domain = source. The two
-runs fail, drop and change words by doc_id; in each the first rule that fits holds.
+examples: id = pos = doc_id, reference = the whole text with single blanks, domain = source. The two runs
+fail, drop and change words by doc_id; in each the first rule that fits holds.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import collapsed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    reference = F.array_join(F.slice(words(F.col("text")), 1, 12), " ")
     message = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
     return d.select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("pos"),
-        reference.alias("reference"),
+        collapsed(F.col("text")).alias("reference"),
         "lang",
         F.col("source").alias("domain"),
         message.alias("messages"),
@@ -49,6 +48,16 @@ def results(ex: DataFrame, run: str) -> DataFrame:
     )
 
 
+def troubled(ex: DataFrame) -> DataFrame:
+    """Examples with what checks of texts look for, put in by id."""
+    i, text = F.col("id"), F.col("messages")[0]["content"]
+    for k, what in ((5, " "), (7, "\ufffd"), (11, "\x01"), (13, "e\u0301")):
+        text = F.when(i % k == 0, F.concat(text, F.lit(what))).otherwise(text)
+    text = F.when(i % 17 == 0, "...").otherwise(text)
+    message = F.array(F.struct(F.lit("user").alias("role"), text.alias("content")))
+    return ex.withColumns({"messages": message, "reference": F.when(i % 19 == 0, "?").otherwise(F.col("reference"))})
+
+
 def graded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Classification: good or bad by the quality label; the answer is good but for every sixth."""
     rows = table(spark, sf_dir, "labels").filter("quality is not null")
@@ -67,9 +76,12 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same in SQL, as common table expressions.
+TROUBLED = r"""troubled AS (SELECT id, pos, lang, CASE WHEN id % 17 = 0 THEN '...' ELSE text || CASE WHEN id % 5 = 0 THEN ' ' ELSE '' END ||
+  CASE WHEN id % 7 = 0 THEN chr(65533) ELSE '' END || CASE WHEN id % 11 = 0 THEN chr(1) ELSE '' END || CASE WHEN id % 13 = 0 THEN 'e' || chr(769) ELSE '' END END AS text,
+  CASE WHEN id % 19 = 0 THEN '?' ELSE reference END AS reference FROM ex)"""
 SQL = r"""
 ex AS (SELECT doc_id AS id, doc_id AS pos, lang, source AS domain, text,
-  array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 12), ' ') AS reference FROM documents),
+  trim(regexp_replace(text, '\s+', ' ', 'g')) AS reference FROM documents),
 w AS (SELECT *, string_split(reference, ' ') AS ws FROM ex),
 base AS (SELECT id, CASE WHEN id % 29 = 0 THEN 'timeout' END AS error, CASE WHEN id % 29 <> 0 THEN CAST(850 + (id * 37) % 220 AS DOUBLE) END AS latency_ms,
   CASE WHEN id % 29 = 0 THEN NULL WHEN id % 4 = 1 THEN array_to_string(list_slice(ws, 1, len(ws) - 1), ' ')

@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from ..functions.text import BARE, MARKED, TONE_MARKS
-from ..operators.validation import HOOKED
+import unicodedata
+
 from .inputs import SQL as INPUTS
+from .inputs import TROUBLED
+
+#: The queries' own tables aren't used here: marks by their numbers, letters by the Unicode data.
+TONE_MARKS = "".join(map(chr, (0x300, 0x301, 0x302, 0x304, 0x30C)))
+HOOKED = "".join(map(chr, (0x253, 0x257, 0x199, 0x1B4, 0x181, 0x18A, 0x198, 0x1B3)))
+
+
+def toneless(c: str) -> str:
+    """A letter, decomposed step by step, without tone marks."""
+    kind = unicodedata.decomposition(c)
+    if not kind or kind.startswith("<"):
+        return "" if c in TONE_MARKS else c
+    return unicodedata.normalize("NFC", "".join(toneless(chr(int(x, 16))) for x in kind.split()))
+
+
+_LETTERS = [c for c in map(chr, range(0xC0, 0x2000)) if unicodedata.is_normalized("NFC", c) and c not in TONE_MARKS]
+MARKED = "".join(c for c in _LETTERS if len(toneless(c)) == 1 and toneless(c) != c)
+BARE = "".join(map(toneless, MARKED))
 
 
 def norm(text: str, tones: str = "keep") -> str:
@@ -28,24 +46,41 @@ def views(source: str, alias: str, extra: str = "id, pos, lang, status") -> str:
 
 BASE = f"WITH {INPUTS}, {answered('base', 'a')}, {views('a', 'v')}"
 CANDIDATE = f"WITH {INPUTS}, {answered('candidate', 'a')}, {views('a', 'v')}"
+BOTH_VIEWS = f"""WITH {INPUTS}, {answered('base', 'ab')}, {answered('candidate', 'ac')}, {views('ab', 'vb')}, {views('ac', 'vc')}"""
 BOTH = f"""WITH {INPUTS}, {answered('base', 'ab')}, {answered('candidate', 'ac')}, {views('ab', 'vb')}, {views('ac', 'vc')},
 pair AS (SELECT vb.id, vb.view, CAST(vb.p = vb.r AS INTEGER) AS b, CAST(vc.p = vc.r AS INTEGER) AS c FROM vb JOIN vc ON vb.id = vc.id AND vb.view = vc.view)"""
-#: Characters as numbers 1 to 127, as the built-in distance counts bytes.
-CODED = """
-chars AS (SELECT id, view, p, r, list_distinct(list_concat(string_split(p, ''), string_split(r, ''))) AS voc FROM v),
-coded AS (SELECT id, view, p, r, array_to_string(list_transform(string_split(p, ''), lambda x: chr(CAST(list_position(voc, x) AS INTEGER))), '') AS cp,
-  array_to_string(list_transform(string_split(r, ''), lambda x: chr(CAST(list_position(voc, x) AS INTEGER))), '') AS cr FROM chars)"""
-WORDS = """
-ws AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS wp, list_filter(string_split(r, ' '), lambda x: x <> '') AS wr FROM v),
-coded AS (SELECT *, array_to_string(list_transform(wp, lambda x: chr(CAST(list_position(list_distinct(list_concat(wp, wr)), x) AS INTEGER))), '') AS cp,
-  array_to_string(list_transform(wr, lambda x: chr(CAST(list_position(list_distinct(list_concat(wp, wr)), x) AS INTEGER))), '') AS cr FROM ws),
-e AS (SELECT *, CASE WHEN cp = '' THEN len(wr) WHEN cr = '' THEN len(wp) ELSE levenshtein(cp, cr) END AS d, len(wr) AS n FROM coded)"""
+
+
+def middles(source: str, keep: str) -> str:
+    """Lists a and b without what both start with, and then, reversed, without what both end with: ma, mb."""
+    start = lambda x, y: f"coalesce(nullif(list_position(list_transform(list_zip({x}[1:least(len({x}), len({y}))], {y}[1:least(len({x}), len({y}))]), lambda z: z[1] <> z[2]), true), 0) - 1, least(len({x}), len({y})))"
+    return f"""
+h AS (SELECT {keep}, a, b, {start("a", "b")} AS k FROM {source}),
+t AS (SELECT {keep}, list_reverse(a[k + 1:]) AS ra, list_reverse(b[k + 1:]) AS rb FROM h),
+tk AS (SELECT *, {start("ra", "rb")} AS k FROM t),
+mid AS (SELECT {keep}, ra[k + 1:] AS ma, rb[k + 1:] AS mb FROM tk),
+voc AS (SELECT *, list_distinct(list_concat(ma, mb)) AS voc FROM mid),
+coded AS (SELECT {keep}, len(ma) AS na, len(mb) AS nb, array_to_string(list_transform(ma, lambda x: chr(CAST(list_position(voc, x) AS INTEGER))), '') AS ca,
+  array_to_string(list_transform(mb, lambda x: chr(CAST(list_position(voc, x) AS INTEGER))), '') AS cb FROM voc)"""
+
+
+#: Between common ends, signs or words as numbers 1 to 127, as the built-in distance counts bytes.
+CODED = f"""
+lists AS (SELECT id, view, p, r, CASE WHEN p = '' THEN [] ELSE string_split(p, '') END AS a, CASE WHEN r = '' THEN [] ELSE string_split(r, '') END AS b FROM v),
+{middles("lists", "id, view, p, r")},
+e AS (SELECT id, view, p, r, CASE WHEN na = 0 THEN nb WHEN nb = 0 THEN na ELSE levenshtein(ca, cb) END AS d, length(r) AS n FROM coded)"""
+WORDS = f"""
+ws AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS a, list_filter(string_split(r, ' '), lambda x: x <> '') AS b FROM v),
+wn AS (SELECT *, len(b) AS n FROM ws),
+{middles("wn", "id, view, status, p, n")},
+e AS (SELECT *, CASE WHEN na = 0 THEN nb WHEN nb = 0 THEN na ELSE levenshtein(ca, cb) END AS d FROM coded)"""
 GRAMS = """
 t AS (SELECT id, view, replace(p, ' ', '') AS hp, replace(r, ' ', '') AS hr, p, r FROM v),
 orders AS (SELECT unnest(range(1, 7)) AS n),
-gp AS (SELECT id, view, n, substr(hp, i, n) AS g, count(*) AS c FROM (SELECT id, view, hp, n, unnest(range(1, length(hp) - n + 2)) AS i FROM t, orders WHERE length(hp) >= n) GROUP BY ALL),
-gr AS (SELECT id, view, n, substr(hr, i, n) AS g, count(*) AS c FROM (SELECT id, view, hr, n, unnest(range(1, length(hr) - n + 2)) AS i FROM t, orders WHERE length(hr) >= n) GROUP BY ALL),
-m AS (SELECT gp.id, gp.view, gp.n, sum(least(gp.c, gr.c)) AS both_n FROM gp JOIN gr ON gp.id = gr.id AND gp.view = gr.view AND gp.n = gr.n AND gp.g = gr.g GROUP BY ALL),
+gp AS (SELECT id, view, n, substr(hp, i, n) AS g, count(*) AS c FROM (SELECT id, view, hp, n, unnest(range(1, length(hp) - n + 2)) AS i FROM t, orders WHERE length(hp) >= n AND hp <> hr) GROUP BY ALL),
+gr AS (SELECT id, view, n, substr(hr, i, n) AS g, count(*) AS c FROM (SELECT id, view, hr, n, unnest(range(1, length(hr) - n + 2)) AS i FROM t, orders WHERE length(hr) >= n AND hp <> hr) GROUP BY ALL),
+m AS (SELECT gp.id, gp.view, gp.n, sum(least(gp.c, gr.c)) AS both_n FROM gp JOIN gr ON gp.id = gr.id AND gp.view = gr.view AND gp.n = gr.n AND gp.g = gr.g GROUP BY ALL
+  UNION ALL SELECT id, view, n, length(hp) - n + 1 FROM t, orders WHERE hp = hr AND length(hp) >= n),
 s AS (SELECT t.id, t.view, orders.n, CASE WHEN length(hr) >= orders.n THEN greatest(length(hp) - orders.n + 1, 0) ELSE 0 END AS hn, greatest(length(hr) - orders.n + 1, 0) AS rn, coalesce(both_n, 0) AS both_n
   FROM t CROSS JOIN orders LEFT JOIN m ON m.id = t.id AND m.view = t.view AND m.n = orders.n)"""
 #: F with beta 2 of averages pr and rc.
@@ -73,14 +108,15 @@ KEYED = f"WITH {INPUTS}, k AS (SELECT *, {norm('text', 'strip')} AS ik, {norm('r
 NUMBERS = r"list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace({0}, '(\p{{Nd}}),(\p{{Nd}})', '\1\2', 'g'), '(\p{{Nd}}),(\p{{Nd}})', '\1\2', 'g'), '\p{{Nd}}+(?:\.\p{{Nd}}+)?')))"
 
 
+CER = f"""WITH {CODED} SELECT id, view, CASE WHEN n > 0 THEN CAST(d AS DOUBLE) / n WHEN p = '' THEN 0 ELSE 1 END AS value FROM e"""
+
 SQL: dict[str, str] = {
     "normalize_tone_aware": f"SELECT doc_id, {norm('text')} AS norm FROM documents",
     "normalize_tone_insensitive": f"SELECT doc_id, {norm('text', 'strip')} AS norm FROM documents",
     "exact_match_by_lang": f"{BASE} SELECT lang, view, count(*) AS n, round(avg(CAST(p = r AS INTEGER)), 6) AS exact_match FROM v GROUP BY lang, view",
     "score_counts": f"{BASE} SELECT count(*) AS n_total, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'missing') AS n_missing FROM a",
     "latency_stats": f"{BASE} SELECT round(avg(latency_ms), 6) AS mean, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(max(latency_ms), 6) AS max FROM a",
-    "cer_pooled": f"""{BASE}, {CODED},
-e AS (SELECT view, CASE WHEN p = '' THEN length(r) WHEN r = '' THEN length(p) ELSE levenshtein(cp, cr) END AS d, length(r) AS n, p FROM coded)
+    "cer_pooled": f"""{BASE}, {CODED}
 SELECT view, round(CAST(sum(d) FILTER (n > 0) AS DOUBLE) / sum(n) FILTER (n > 0), 6) AS cer, round(avg(CASE WHEN n > 0 THEN CAST(d AS DOUBLE) / n WHEN p = '' THEN 0 ELSE 1 END), 6) AS mean_cer FROM e GROUP BY view""",
     "wer_pooled": f"""{BASE}, {WORDS} SELECT view, round(CAST(sum(d) FILTER (n > 0) AS DOUBLE) / sum(n) FILTER (n > 0), 6) AS wer,
   round(avg(CASE WHEN n > 0 THEN CAST(d AS DOUBLE) / n WHEN p = '' THEN 0 ELSE 1 END), 6) AS mean_wer FROM e GROUP BY view""",
@@ -125,11 +161,12 @@ SELECT k.id, {NUMBERS.format("r")} <> {NUMBERS.format("p")} AS number_mismatch,
   trim(p) = '' AS blank
 FROM k LEFT JOIN one USING (id) LEFT JOIN four USING (id)""",
     "duplicates": f"{KEYED}, f AS (SELECT ik, rk, min(pos) AS first_pos FROM k GROUP BY ik, rk HAVING count(*) > 1) SELECT id, first_pos FROM k JOIN f USING (ik, rk) WHERE pos > first_pos",
-    "conflicts": f"""WITH {INPUTS}, k AS (SELECT id, pos, {norm("array_to_string(list_slice(string_split(reference, ' '), 1, 2), ' ')", "strip")} AS ik, {norm("reference", "strip")} AS rk FROM ex),
+    "conflicts": f"""WITH {INPUTS}, k AS (SELECT id, pos, domain || ' ' || lang AS ik, {norm("reference", "strip")} AS rk FROM ex),
 refs AS (SELECT ik, rk, min(pos) AS pos FROM k GROUP BY ik, rk), several AS (SELECT ik, count(*) AS n FROM refs GROUP BY ik HAVING count(*) > 1)
 SELECT pos AS id, pos, n AS "references" FROM refs JOIN several USING (ik)""",
     "leakage": f"""{KEYED} SELECT identical, count(*) AS n FROM (SELECT id, text IN (SELECT text FROM ex WHERE id % 2 = 1) AS identical FROM k WHERE id % 2 = 0 AND ik IN (SELECT ik FROM k WHERE id % 2 = 1)) GROUP BY identical""",
-    "text_health": f"""{KEYED}, t AS (SELECT id, text AS x FROM ex UNION ALL SELECT id, reference FROM ex),
+    "text_health": f"""WITH {INPUTS}, {TROUBLED}, k AS (SELECT *, {norm("text", "strip")} AS ik, {norm("reference", "strip")} AS rk FROM troubled),
+t AS (SELECT id, text AS x FROM troubled UNION ALL SELECT id, reference FROM troubled),
 p AS (SELECT DISTINCT id, 'padded' AS problem FROM t WHERE x <> regexp_replace(x, '^\\s+|\\s+$', '', 'g') UNION ALL SELECT DISTINCT id, 'replacement' FROM t WHERE contains(x, chr(65533))
   UNION ALL SELECT DISTINCT id, 'controls' FROM t WHERE regexp_matches(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]') UNION ALL SELECT DISTINCT id, 'non_nfc' FROM t WHERE nfc_normalize(x) <> x
   UNION ALL SELECT id, 'empty_inputs' FROM k WHERE ik = '' UNION ALL SELECT id, 'empty_refs' FROM k WHERE rk = '')
@@ -168,6 +205,13 @@ h AS (SELECT doc_id, label, strpos(p, ' ' || label || ' ') AS pos FROM d CROSS J
 b AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY pos, length(label) DESC, label) AS k FROM h WHERE pos > 0)
 SELECT d.doc_id, b.label FROM d LEFT JOIN b ON b.doc_id = d.doc_id AND b.k = 1""",
     "events_per_window": "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1",
-    "top_substitutions": f"""{BASE}, {WORDS}, o AS (SELECT unnest(wr) AS ref, unnest(wp) AS hyp FROM e WHERE view = 'tone_aware' AND id % 4 = 2 AND status = 'ok' AND len(wr) = len(wp) AND n > 0)
+    "compare_outcomes": f"""{BOTH_VIEWS}, x AS (SELECT 'base' AS run, * FROM vb UNION ALL SELECT 'candidate', * FROM vc),
+v AS (SELECT run || ' ' || CAST(id AS VARCHAR) AS id, view, status, p, r FROM x), {WORDS.replace("e AS (", "we AS (")},
+c AS (SELECT id, view, 'wer' AS metric, CASE WHEN n > 0 THEN CAST(d AS DOUBLE) / n WHEN p = '' THEN 0 ELSE 1 END AS value FROM we UNION ALL SELECT id, view, 'exact_match', CAST(p = r AS INTEGER) FROM v
+  UNION ALL SELECT id, view, 'cer', value FROM ({CER})),
+b AS (SELECT c.metric, c.view, b.value AS base, c.value AS candidate FROM c JOIN c b ON b.id = 'base ' || substr(c.id, 11) AND b.view = c.view AND b.metric = c.metric WHERE c.id LIKE 'candidate %')
+SELECT metric, view, count(*) AS n, count(*) FILTER (candidate - base > 1e-12 ) AS wins, count(*) FILTER (abs(candidate - base) <= 1e-12) AS ties, count(*) FILTER (candidate - base < -1e-12) AS losses,
+  round(avg(base), 6) AS base_mean, round(avg(candidate), 6) AS candidate_mean, round(avg(candidate - base), 6) AS delta FROM b GROUP BY metric, view""",
+    "top_substitutions": f"""{BASE}, {WORDS}, o AS (SELECT unnest(b) AS ref, unnest(a) AS hyp FROM wn WHERE view = 'tone_aware' AND status = 'ok' AND len(a) = len(b) AND n > 0)
 SELECT ref, hyp, count(*) AS n, {norm("ref", "strip")} = {norm("hyp", "strip")} AS tone_only FROM o WHERE ref <> hyp GROUP BY ref, hyp ORDER BY n DESC, ref, hyp LIMIT 10""",
 }

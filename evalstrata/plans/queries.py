@@ -222,10 +222,9 @@ def duplicates(spark, sf_dir):
 
 @query
 def conflicts(spark, sf_dir):
-    """Inputs here are the first three words, so that some share one."""
+    """Inputs here are source and language, so that many examples share one."""
     ex = inputs.examples(spark, sf_dir)
-    start = F.array_join(F.slice(F.split("reference", " "), 1, 2), " ")
-    own = ex.withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), start.alias("content"))))
+    own = ex.withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), F.concat_ws(" ", "domain", "lang").alias("content"))))
     return va.conflicts(va.keyed(own))
 
 
@@ -239,7 +238,8 @@ def leakage(spark, sf_dir):
 
 @query
 def text_health(spark, sf_dir):
-    return va.problem_rows(inputs.examples(spark, sf_dir)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    """Of examples into which what it looks for has been put."""
+    return va.problem_rows(inputs.troubled(inputs.examples(spark, sf_dir))).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -352,6 +352,14 @@ def compare_runs(spark, sf_dir):
     return out.withColumn("verdict", paired.verdict(F.col("low"), F.col("high"), higher))
 
 
+@query
+def compare_outcomes(spark, sf_dir):
+    """The flagship without what is drawn at random."""
+    names = ["exact_match", "wer", "cer"]
+    out = paired.outcomes(both_runs(spark, sf_dir, names), ["metric", "view"])
+    return out.select("metric", "view", "n", "wins", "ties", "losses", *(F.round(c, 6).alias(c) for c in ("base_mean", "candidate_mean", "delta")))
+
+
 @query
 def label_lookup(spark, sf_dir):
     """Which of a few words stands first in each document, as a label."""
