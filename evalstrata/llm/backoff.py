@@ -5,11 +5,14 @@ the context shortened by its first word; a single word scores c(w) / N, a word n
 if seen once. Counts and N are of the whole corpus less the document's own occurrences, without which
 every n-gram of the corpus would be seen.
 
-Plan: documents become chunks of half a million words, written once. Each chunk explodes into its
-distinct n-grams with counts, dealt by ranges of a 64-bit hash (the count tables, each a range of
-hashes); a table adds up the chunks' counts, and each chunk's n-grams are joined to it in order. What
-comes back, the count in other chunks, is joined to the chunk, and log scores are summed per document.
-All that is sent grows with the corpus; no task holds more than a chunk or a range.
+Plan: documents become chunks of some million words, written once, in buckets of chunks. Each chunk explodes into rows of its
+distinct n-grams (gram, chunk, n), a gram being a 64-bit hash. These rows are partitioned by the hash; the count
+table of a partition is joined to its rows where they lie, as a window over the gram, so that they are moved
+once. What that leaves, the count of each n-gram in other chunks, goes back to its chunk as lists in the order
+of grams, a list for each part of the hashes and chunk, so that no gram is sent twice. There a document's own
+occurrences are taken off and the log scores are summed per document. Rows grow with the corpus: a chunk has
+one for each of its distinct n-grams, so a frequent n-gram has a row a chunk and not one an occurrence. No task
+holds more than a chunk or a partition of hashes.
 
 Defined cases: null and empty texts have no words and the log score 0. Repeated rows are documents of
 their own, so they support each other. Other columns are ignored.
@@ -22,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from .common import kept, two_columns, words
+from .common import kept_by, two_columns, words
 
 ALPHA = 0.4
-#: Words of a chunk, and distinct n-grams aimed at in a range of hashes.
-CHUNK_WORDS, RANGE_GRAMS = 500_000, 1_500_000
+#: Words of a chunk, rows of n-grams in an Arrow batch, and n-grams aimed at in a part of the hashes.
+CHUNK_WORDS, BATCH_ROWS, PART_GRAMS = 1_000_000, 50_000, 1_000_000
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -35,7 +39,7 @@ def packed(x: np.ndarray) -> bytes:
     import zstandard
 
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpacked(blob: bytes, kind: str) -> np.ndarray:
@@ -125,85 +129,85 @@ def all_grams(word: np.ndarray, document: np.ndarray, order: int) -> tuple[np.nd
     return np.concatenate([h[p] for h, p in zip(grams(word, document, order), places, strict=True)]), places
 
 
-def edges(ranges: int) -> np.ndarray:
-    """The first hash of each range but the first."""
-    return (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
+def exploded(state: DataFrame, order: int) -> DataFrame:
+    """(gram, chunk, n) for each distinct n-gram of a chunk."""
 
-
-def score_documents(documents: DataFrame, order: int = 2, alpha: float = ALPHA, key: str = "doc_id", text: str = "text", chunk_words: int = CHUNK_WORDS, range_grams: int = RANGE_GRAMS) -> DataFrame:
-    """One row a document: key, n_words, log_score (natural, summed over its words)."""
-    kind = dict(documents.dtypes)[key]
-    state = kept(chunks(two_columns(documents, key, text), chunk_words), "chunks")
-    total = state.agg(F.sum("n_words")).first()[0] or 0
-    ranges = max(1, -(-total * order // range_grams))
-
-    def count(batches):
-        bounds = edges(ranges)
+    def run(batches):
         for batch in batches:
             for chunk, *blobs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 _, word, document = opened(*blobs)
                 h, n = np.unique(all_grams(word, document, order)[0], return_counts=True)
-                cut = [0, *np.searchsorted(h, bounds), len(h)]
-                rows = [(r, chunk, packed(np.diff(h[a:b], prepend=np.uint64(0))), packed(n[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-                if rows:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["range", "chunk", "grams", "n"])
-
-    def add_up(rows):
-        """A count table and its join to the n-grams of each chunk: the counts elsewhere."""
-        import pandas as pd
-
-        own = [np.cumsum(unpacked(g, "<u8"), dtype=np.uint64) for g in rows["grams"]]
-        n = [unpacked(x, "<u4").astype(np.int64) for x in rows["n"]]
-        table, back = np.unique(np.concatenate(own), return_inverse=True)
-        totals = np.bincount(back, np.concatenate(n), len(table)).astype(np.int64)
-        at, out = 0, []
-        for x, c in zip(own, n, strict=True):
-            out.append(packed(totals[back[at : at + len(x)]] - c))
-            at += len(x)
-        return pd.DataFrame({"range": rows["range"], "chunk": rows["chunk"], "more": out})
+                for at in range(0, len(h), BATCH_ROWS):
+                    part = slice(at, at + BATCH_ROWS)
+                    columns = [pa.array(h[part].view(np.int64)), pa.array(np.full(len(h[part]), chunk)), pa.array(n[part].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["gram", "chunk", "n"])
+
+    return state.select("chunk", "sizes", "vocabulary", "word").mapInArrow(run, "gram long, chunk long, n int")
+
+
+def left_out(flat: np.ndarray, of: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """For each n-gram of a chunk its count in other documents: those of the chunk (`of` names the document of
+    each) and, for the distinct n-grams in order, `more` in other chunks."""
+    order = np.argsort(flat, kind="stable")  # within an n-gram, documents stay in order
+    h, sorted_of = flat[order], of[order]
+    new = np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]])
+    group = np.cumsum(new) - 1
+    counts = np.bincount(group, minlength=len(more)) + more
+    runs = np.flatnonzero(new | (np.diff(sorted_of, prepend=-1) != 0))
+    del h, sorted_of, new
+    own = np.diff(np.append(runs, len(flat)))
+    left = np.empty(len(flat), np.int64)
+    left[order] = counts[group] - np.repeat(own, own)
+    return left
+
+
+def log_scores(sizes: np.ndarray, word: np.ndarray, document: np.ndarray, more: np.ndarray, total: int, order: int, alpha: float) -> np.ndarray:
+    """The summed log score of each document of a chunk."""
+    flat, places = all_grams(word, document, order)
+    left = left_out(flat, np.concatenate([document[p] for p in places]), more)
+    del flat
+    rest = np.maximum(1, total - sizes)[document]
+    at, below, before = 0, np.zeros(len(word)), rest
+    for k, p in enumerate(places):
+        c = np.zeros(len(word), np.int64)
+        c[p] = left[at : at + len(p)]
+        at += len(p)
+        if k == 0:
+            below = np.log(np.maximum(c, 1)) - np.log(rest)
+        else:
+            context = np.ones(len(word), np.int64)
+            context[1:] = before[:-1]
+            seen = np.zeros(len(word), bool)
+            seen[p] = c[p] > 0
+            full = np.log(np.where(seen, c, 1)) - np.log(np.where(seen, context, 1))
+            shorter = below.copy()
+            shorter[p] += np.log(alpha)
+            below = np.where(seen, full, shorter)
+        before = c
+    return np.bincount(document, below, len(sizes))
+
+
+def score_documents(documents: DataFrame, order: int = 2, alpha: float = ALPHA, key: str = "doc_id", text: str = "text", chunk_words: int = CHUNK_WORDS, part_grams: int = PART_GRAMS) -> DataFrame:
+    """One row a document: key, n_words, log_score (natural, summed over its words)."""
+    kind = dict(documents.dtypes)[key]
+    state = kept_by(chunks(two_columns(documents, key, text), chunk_words), "chunks", "chunk")
+    total = state.agg(F.sum("n_words")).first()[0] or 0
 
     def score(chunk_rows, replies):
         import pandas as pd
 
-        parts = []
-        replies = replies.sort_values("range")
-        more = np.concatenate([np.zeros(0, np.int64), *(unpacked(b, "<i8") for b in replies["more"])])
+        more = np.concatenate([np.zeros(0, np.int64), *replies.sort_values("part")["more"]]).astype(np.int64)
+        out = [pd.DataFrame({"key": [], "n_words": [], "log_score": []})]
         for row in chunk_rows.itertuples():
             sizes, word, document = opened(row.sizes, row.vocabulary, row.word)
-            flat, places = all_grams(word, document, order)
-            of = np.concatenate([document[p] for p in places])
-            order_of = np.argsort(flat, kind="stable")  # within an n-gram, documents stay in order
-            sorted_of = of[order_of]
-            new = np.diff(flat[order_of], prepend=flat[order_of[:1]] + np.uint64(1)) != 0
-            group = np.cumsum(new) - 1
-            runs = np.flatnonzero(new | (np.diff(sorted_of, prepend=-1) != 0))
-            own = np.diff(np.append(runs, len(flat)))
-            left = np.empty(len(flat), np.int64)
-            left[order_of] = (np.bincount(group, minlength=len(more)) + more)[group] - np.repeat(own, own)
-            del order_of, sorted_of, new, group, runs, own, of, flat
-            rest = np.maximum(1, total - sizes)[document]
-            at, below = 0, np.zeros(len(word))
-            before = rest
-            for k, p in enumerate(places):
-                c = np.zeros(len(word), np.int64)
-                c[p] = left[at : at + len(p)]
-                at += len(p)
-                if k == 0:
-                    below = np.log(np.maximum(c, 1)) - np.log(rest)
-                else:
-                    context = np.ones(len(word), np.int64)
-                    context[1:] = before[:-1]
-                    seen = np.zeros(len(word), bool)
-                    seen[p] = c[p] > 0
-                    full = np.log(np.where(seen, c, 1)) - np.log(np.where(seen, context, 1))
-                    shorter = below.copy()
-                    shorter[p] += np.log(alpha)
-                    below = np.where(seen, full, shorter)
-                before = c
-            parts.append(pd.DataFrame({"key": list(row.keys), "n_words": sizes, "log_score": np.bincount(document, below, len(sizes))}))
-        return pd.concat(parts) if parts else pd.DataFrame({"key": [], "n_words": [], "log_score": []})
-
-    asked = state.select("chunk", "sizes", "vocabulary", "word").mapInArrow(count, "range long, chunk long, grams binary, n binary")
-    replies = asked.groupBy("range").applyInPandas(add_up, "range long, chunk long, more binary")
-    return state.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(score, f"key {kind}, n_words long, log_score double")
+            out.append(pd.DataFrame({"key": list(row.keys), "n_words": sizes, "log_score": log_scores(sizes, word, document, more, total, order, alpha)}))
+        return pd.concat(out[1:] or out)
+
+    bits = max(1, (-(-total * order // part_grams) - 1).bit_length())
+    part = F.shiftrightunsigned("gram", 64 - bits)
+    rows = exploded(state, order).repartition(part).withColumn("part", part)
+    elsewhere = F.sum("n").over(Window.partitionBy("part", "gram")) - F.col("n")
+    counted = rows.select("part", "chunk", F.struct("gram", elsewhere.alias("more")).alias("row"))
+    lists = counted.groupBy("part", "chunk").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    more = lists.select("part", "chunk", F.col("rows.more").alias("more"))
+    return state.groupBy("chunk").cogroup(more.groupBy("chunk")).applyInPandas(score, f"key {kind}, n_words long, log_score double")

@@ -63,6 +63,19 @@ def kept(df: DataFrame, kind: str) -> DataFrame:
     return out
 
 
+def kept_by(df: DataFrame, kind: str, column: str) -> DataFrame:
+    """`df` written once to the shared folder in buckets of a column, as many as there are shuffle partitions, so
+    that what is joined or grouped by it later doesn't move these rows. The catalog keeps no entry."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, kind)
+    name = f"{kind}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
+    out = spark.table(name)
+    out.schema, out._jdf.queryExecution().analyzed()  # noqa: B018  resolved before the entry goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    out.kept_at = path
+    return out
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes kept frames that nothing reads any more."""
     for df in frames:

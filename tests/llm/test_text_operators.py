@@ -250,7 +250,7 @@ def test_shots():
 
 @pytest.mark.parametrize("order,chunk", [(2, 500_000), (2, 50), (3, 70)])
 def test_backoff(documents, texts, none, as_map, order, chunk):
-    got = as_map(score_documents(documents, order=order, chunk_words=chunk, range_grams=100))
+    got = as_map(score_documents(documents, order=order, chunk_words=chunk, part_grams=400))
     rows = [(r.doc_id, plain_words(r.text)) for r in documents.collect()]
     counts = [collections.Counter(tuple(w[i : i + n]) for _, w in rows for i in range(len(w) - n + 1)) for n in range(1, order + 1)]
     total = sum(len(w) for _, w in rows)
