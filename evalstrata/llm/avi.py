@@ -141,7 +141,9 @@ def undo(d: np.ndarray, predictor: int) -> np.ndarray:
 
 
 def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """Intra frames of one size as (n, height, width) bytes."""
+    """Intra frames of one size as (n, height, width) bytes; of no frames an array of none."""
+    if not frames:
+        return np.zeros((0, 0, 0), np.uint8)
     width, height = size_of(frames[0])
     own = head(width, height)
     if all(f.startswith(own) for f in frames):
@@ -185,7 +187,9 @@ def write_avi(frames: list[bytes], width: int, height: int, n_bytes: int, rate:
 
 
 def read_avi(data: bytes) -> dict:
-    """rate, n_bytes (None if not stated) and the frames, by the index, or by the chunks if it is missing."""
+    """rate, n_bytes (None if not stated) and the frames, by the index, or by the chunks if it is missing. Offsets
+    of the index count from the list of frames or from the file's start, whichever finds the first frame. Of a
+    file that is cut short the frames that are whole are left; a file may have none."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not a RIFF AVI file")
     out: dict = {"rate": RATE, "n_bytes": None, "frames": []}
@@ -200,11 +204,11 @@ def read_avi(data: bytes) -> dict:
                 if data[start : start + 4] == b"movi":
                     movi = start
                 walk(start + 4, min(start + size, end))
-            elif name == b"strh":
+            elif name == b"strh" and start + 28 <= end:
                 scale, rate = struct.unpack("<II", data[start + 20 : start + 28])
                 out["rate"] = rate / max(1, scale)
-            elif name == b"ICMT":
-                out["n_bytes"] = int(data[start : start + size].rstrip(b"\0"))
+            elif name == b"ICMT" and (note := data[start : start + size].rstrip(b"\0")).isdigit():
+                out["n_bytes"] = int(note)
             elif name == b"idx1":
                 index = data[start : start + size]
             elif name[2:] in (b"dc", b"db"):
@@ -212,11 +216,13 @@ def read_avi(data: bytes) -> dict:
             at = start + size + size % 2
 
     walk(12, min(len(data), 8 + struct.unpack("<I", data[4:8])[0]))
+    places = chunks
     if index is not None and movi is not None:
-        places = [(movi + at + 8, size) for name, _, at, size in struct.iter_unpack("<4sIII", index) if name[2:] in (b"dc", b"db")]
-    else:
-        places = chunks
-    out["frames"] = [data[a : a + n] for a, n in places]
+        entries = [(name, at, size) for name, _, at, size in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]) if name[2:] in (b"dc", b"db")]
+        bases = [base for base in (movi, 0) if entries and data[base + entries[0][1] :][:4] == entries[0][0]]
+        if bases:
+            places = [(bases[0] + at + 8, size) for _, at, size in entries]
+    out["frames"] = [data[a : a + n] for a, n in places if n and a + n <= len(data)]
     return out
 
 

@@ -24,7 +24,8 @@ def padded(text: str | None, unit: int = 64) -> tuple[bytes, int]:
 
 
 def read_back(media: bytes) -> tuple[bytes, list[dict]]:
-    """The payload and the clips of a stored file."""
+    """The payload and the clips of a stored file: no bytes and no clips if it has no whole frame. A file that is
+    no RIFF AVI, or has frames of another kind of JPEG, is a ValueError."""
     film = read_avi(media)
     frames = decode_frames(film["frames"])
     payload = frames.tobytes()[: film["n_bytes"]]

@@ -248,6 +248,27 @@ def test_shots():
     assert shots(dark) == [(0, 10)]
 
 
+def test_damaged_and_foreign_films():
+    import struct
+
+    from evalstrata.llm.avi import read_avi, store
+    from evalstrata.llm.media import read_back
+
+    payload = bytes(range(256)) * 20
+    film = store(payload)
+    assert read_back(film)[0] == payload
+    for end in range(12, len(film), 97):  # whole frames of what is left, in order
+        back, _ = read_back(film[:end])
+        assert payload.startswith(back)
+    with pytest.raises(ValueError):
+        read_back(b"no film")
+    movi, at = film.index(b"movi"), film.index(b"idx1") + 8
+    moved = bytearray(film)  # offsets from the start of the file
+    for k in range(at, len(film) - 15, 16):
+        moved[k + 8 : k + 12] = struct.pack("<I", struct.unpack("<I", film[k + 8 : k + 12])[0] + movi)
+    assert read_avi(bytes(moved)) == read_avi(film)
+
+
 @pytest.mark.parametrize("order,chunk", [(2, 500_000), (2, 50), (3, 70)])
 def test_backoff(documents, texts, none, as_map, order, chunk):
     got = as_map(score_documents(documents, order=order, chunk_words=chunk, part_grams=400))
