@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -105,10 +106,19 @@ def spread(df: DataFrame, rows: int, each: int, *by: str) -> DataFrame:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches of a few rows, so that what is made of a batch stays small."""
+    """Batches of a few rows, so that what is made of a batch stays small. After the last the worker, which waits
+    for other tasks, gives the memory that very long texts took back to the system."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    given_back()
+
+
+def given_back() -> None:
+    """Gives freed memory that this process still holds back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 #: Bytes of the Arrow batches in which rows go to Python and back, on either side of the pipe.

@@ -15,10 +15,9 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 BLANK = "▁"
-BLANK_BYTES = BLANK.encode()
 NONE = float("-inf")
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
@@ -154,19 +153,23 @@ class Model:
             offer(i, right[i])
         return [s for s in symbols if s]
 
-    def encode_cut(self, cut: str) -> tuple[list[int], list[int]]:
-        """Ids of a cut and the bytes of the normalised text that each covers. Of a character that falls
-        back to bytes, each byte is a piece."""
-        ids, sizes = [], []
+    def encode_cut(self, cut: str) -> list[int]:
+        """Ids of a cut. Of a character that falls back to bytes, each byte is a piece."""
+        ids = []
         for symbol in self.merges(cut):
             if (i := self.ids.get(symbol)) is not None:
                 ids.append(i)
-                sizes.append(len(symbol) if symbol.isascii() else len(symbol.encode()))
             else:
-                for b in symbol.encode():
-                    ids.append(self.bytes[b])
-                    sizes.append(1)
-        return ids, sizes
+                ids += [self.bytes[b] for b in symbol.encode()]
+        return ids
+
+    @cached_property
+    def sizes(self):
+        """For each id the bytes of its piece as normalised, and in the source if every blank is one byte there."""
+        import numpy as np
+
+        own = [1 if i in self.of_byte else len(p.encode()) for i, p in enumerate(self.pieces)]
+        return np.array(own, np.int32), np.array([n - 2 * p.count(BLANK) for n, p in zip(own, self.pieces, strict=True)], np.int32)
 
     def surface(self, ids: list[int]) -> bytes:
         """The bytes that ids stand for, blanks put back, control pieces left out."""
@@ -189,10 +192,15 @@ class Model:
         return surface.decode("utf-8", "replace")
 
 
+#: Longer cuts are rarely met again and aren't remembered, so that a remembered one has few bytes.
+LONG = 128
+#: Characters of a text that are cut at once, at least.
+STRETCH = 1 << 16
+
+
 class Encoder:
-    """Encodes texts with a bounded memory of cuts, the recent ones in two generations. Results are
-    lists of parts; a part is (number of ids, ids as text, surface, source bytes of each piece if every
-    blank is one source byte, bytes of each piece as normalised)."""
+    """Encodes texts with a bounded memory of cuts, the recent ones in two generations. Results are lists of
+    parts; a part is (number of ids, ids as text, surface)."""
 
     def __init__(self, path: str, memory: int = 120_000):
         self.model = load(path)
@@ -203,16 +211,10 @@ class Encoder:
     def part(self, cut: str) -> tuple:
         made = self.before.get(cut)
         if made is None:
-            ids, sizes = self.model.encode_cut(cut)
-            pack = struct.Struct(f"<{len(ids)}i").pack
-            packed = own = pack(*sizes)
-            if BLANK in cut:
-                data, at = cut.encode(), 0
-                for k, size in enumerate(sizes):
-                    sizes[k] -= 2 * data.count(BLANK_BYTES, at, at + size)
-                    at += size
-                own = pack(*sizes)
-            made = (len(ids), " ".join(map(str, ids)).encode(), self.model.surface(ids), own, packed)
+            ids = self.model.encode_cut(cut)
+            made = (len(ids), " ".join(map(str, ids)).encode(), self.model.surface(ids))
+        if len(cut) > LONG:
+            return made
         if len(self.seen) >= self.memory:
             self.before, self.seen = self.seen, {}
         self.seen[cut] = made
@@ -226,12 +228,19 @@ class Encoder:
             norm = (BLANK if model.dummy else "") + text.replace(" ", BLANK)
         else:
             norm = model.normalise(text)[0].decode("utf-8", "replace")
-        out = []
-        for c in model.cut.findall(norm):
-            if (made := seen.get(c)) is None:
-                made = self.part(c)
-                seen = self.seen
-            out.append(made)
+        out, at = [], 0
+        while at < len(norm):
+            # no cut goes on beyond a blank behind another character, so a very long text is cut in stretches
+            end = at + STRETCH
+            while 0 < (end := norm.find(BLANK, end)) and norm[end - 1] == BLANK:
+                end += 1
+            end = end if end > 0 else len(norm)
+            for c in model.cut.findall(norm, at, end):
+                if (made := seen.get(c)) is None:
+                    made = self.part(c)
+                    seen = self.seen
+                out.append(made)
+            at = end
         return out
 
     def ids(self, parts: list[tuple]) -> list[int]:
@@ -242,15 +251,15 @@ class Encoder:
         share its span."""
         import numpy as np
 
-        model = self.model
+        model, ids = self.model, np.array(self.ids(parts), np.int32)
         if model.plain and BLANK not in text:
-            ends = np.cumsum(np.frombuffer(b"".join([p[3] for p in parts]), "<i4"))
+            ends = np.cumsum(model.sizes[1][ids], dtype=np.int32)
             if model.dummy and len(ends):
                 ends -= 1
             starts = np.concatenate([np.zeros(1, ends.dtype), ends[:-1]]) if len(ends) else ends
             return starts, ends
         source = np.array(model.normalise(text)[1])
-        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.frombuffer(b"".join([p[4] for p in parts]), "<i4"))])
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(model.sizes[0][ids], dtype=np.int64)])
         return source[at[:-1]], source[at[1:]]
 
 
