@@ -169,7 +169,7 @@ class Model:
         import numpy as np
 
         own = [1 if i in self.of_byte else len(p.encode()) for i, p in enumerate(self.pieces)]
-        return np.array(own, np.int32), np.array([n - 2 * p.count(BLANK) for n, p in zip(own, self.pieces, strict=True)], np.int32)
+        return np.array(own, "<i4"), np.array([n - 2 * p.count(BLANK) for n, p in zip(own, self.pieces, strict=True)], "<i4")
 
     def surface(self, ids: list[int]) -> bytes:
         """The bytes that ids stand for, blanks put back, control pieces left out."""
@@ -200,7 +200,8 @@ STRETCH = 1 << 16
 
 class Encoder:
     """Encodes texts with a bounded memory of cuts, the recent ones in two generations. Results are lists of
-    parts; a part is (number of ids, ids as text, surface)."""
+    parts; a part is (number of ids, ids as text, surface, source bytes of each piece if every blank is one source
+    byte)."""
 
     def __init__(self, path: str, memory: int = 120_000):
         self.model = load(path)
@@ -212,7 +213,7 @@ class Encoder:
         made = self.before.get(cut)
         if made is None:
             ids = self.model.encode_cut(cut)
-            made = (len(ids), " ".join(map(str, ids)).encode(), self.model.surface(ids))
+            made = (len(ids), " ".join(map(str, ids)).encode(), self.model.surface(ids), self.model.sizes[1][ids].tobytes())
         if len(cut) > LONG:
             return made
         if len(self.seen) >= self.memory:
@@ -251,15 +252,15 @@ class Encoder:
         share its span."""
         import numpy as np
 
-        model, ids = self.model, np.array(self.ids(parts), np.int32)
+        model = self.model
         if model.plain and BLANK not in text:
-            ends = np.cumsum(model.sizes[1][ids], dtype=np.int32)
+            ends = np.cumsum(np.frombuffer(b"".join([p[3] for p in parts]), "<i4"))
             if model.dummy and len(ends):
                 ends -= 1
             starts = np.concatenate([np.zeros(1, ends.dtype), ends[:-1]]) if len(ends) else ends
             return starts, ends
         source = np.array(model.normalise(text)[1])
-        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(model.sizes[0][ids], dtype=np.int64)])
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(model.sizes[0][self.ids(parts)], dtype=np.int64)])
         return source[at[:-1]], source[at[1:]]
 
 
