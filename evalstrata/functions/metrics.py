@@ -81,8 +81,12 @@ def word_edits(pred: Column, ref: Column) -> Column:
 
 
 def rate(edits: Column, length: Column, pred: Column) -> Column:
+    return rate_of(edits, length, F.length(pred) == 0)
+
+
+def rate_of(edits: Column, length: Column, empty: Column) -> Column:
     """Edits over length; of an empty reference 0 if the answer is empty too, else 1."""
-    return F.when(length > 0, edits / length).otherwise(F.when(F.length(pred) == 0, 0.0).otherwise(1.0))
+    return F.when(length > 0, edits / length).otherwise(F.when(empty, 0.0).otherwise(1.0))
 
 
 def wer(pred: Column, ref: Column) -> Column:
@@ -163,9 +167,12 @@ def chrf_of(statistics: Column) -> Column:
 
 
 def chrf(pred: Column, ref: Column, statistics: Column) -> Column:
+    return chrf_where(F.length(pred) == 0, F.length(ref) == 0, statistics)
+
+
+def chrf_where(no_answer: Column, no_reference: Column, statistics: Column) -> Column:
     """chrF of one pair: 100 if both are empty, 0 if one is."""
-    both, one = (F.length(pred) == 0) & (F.length(ref) == 0), (F.length(pred) == 0) | (F.length(ref) == 0)
-    return F.when(both, 100.0).when(one, 0.0).otherwise(chrf_of(statistics))
+    return F.when(no_answer & no_reference, 100.0).when(no_answer | no_reference, 0.0).otherwise(chrf_of(statistics))
 
 
 def pooled_statistics(statistics: Column, orders: int) -> Column:

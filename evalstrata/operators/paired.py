@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, exp, lgamma, log, pi, sqrt
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 EPSILON = 1e-12
 #: Cells of the matrix of draws that are held at once.
@@ -59,15 +63,16 @@ def mcnemar_column(base_only: Column, candidate_only: Column) -> Column:
 
 def draw(diffs, draws: int, seed: int, confidence: float) -> tuple[float, float, float]:
     """Mean and interval of the mean of resampled differences."""
-    import numpy as np
-
     n = len(diffs)
     rng = np.random.default_rng(seed)
     rows = max(1, min(draws, CELLS // n))
     means = np.empty(draws)
+    whole = np.isin(diffs, (-1.0, 0.0, 1.0)).all()
+    taken = diffs.astype(np.int8) if whole else diffs  # small, so it stays in the processor's cache; sums are exact
     for start in range(0, draws, rows):
         stop = min(start + rows, draws)
-        means[start:stop] = diffs[rng.integers(0, n, size=(stop - start, n))].mean(axis=1)
+        own = taken[rng.integers(0, n, size=(stop - start, n))]
+        means[start:stop] = own.sum(axis=1, dtype=np.int64) / n if whole else own.mean(axis=1)
     low, high = np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2])
     return float(diffs.mean()), float(low), float(high)
 
@@ -75,14 +80,29 @@ def draw(diffs, draws: int, seed: int, confidence: float) -> tuple[float, float,
 def bootstrap(paired: DataFrame, by: list[str], draws: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """Exact paired bootstrap of each group in dataset order: (by, n, delta, low, high). A group is held by
     one task; `poisson_bootstrap` has no such limit."""
-    schema = ", ".join(f"`{c}` {dict(paired.dtypes)[c]}" for c in by) + ", n long, delta double, low double, high double"
-
-    def f(key, rows):
-        rows = rows.sort_values("pos")
-        d = rows["candidate"].to_numpy(float) - rows["base"].to_numpy(float)
-        return pd.DataFrame([[*key, len(d), *draw(d, draws, seed, confidence)]], columns=[*by, "n", "delta", "low", "high"])
-
-    return paired.select(*by, "pos", "base", "candidate").groupBy(*by).applyInPandas(f, schema)
+    return tested(paired, by, 1, draws, seed, confidence).select(*by, "n", "delta", "low", "high")
+
+
+def tested(paired: DataFrame, by: list[str], least: int = 1, draws: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """`outcomes`, the first position and the interval of `bootstrap` of each group, from one pass and one
+    shuffle; groups of fewer than `least` have no interval. A group is held by one task, as in `bootstrap`."""
+    kinds = dict(paired.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", n long, base_mean double, candidate_mean double, delta double, wins long, ties long, losses long, base_only long, candidate_only long, first_pos {kinds['pos']}, low double, high double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def f(key, table):
+        pos, base, candidate = (table.column(c).to_numpy() for c in ("pos", "base", "candidate"))
+        order = np.argsort(pos, kind="stable")
+        base, candidate = base[order].astype(float), candidate[order].astype(float)
+        d, n = candidate - base, len(base)
+        binary = bool(np.isin(base, (0.0, 1.0)).all() and np.isin(candidate, (0.0, 1.0)).all())
+        only = [int(((base == x) & (candidate == 1 - x)).sum()) if binary else None for x in (1, 0)]
+        _, low, high = draw(d, draws, seed, confidence) if n >= least else (None, None, None)
+        counts = [int((d > EPSILON).sum()), int((abs(d) <= EPSILON).sum()), int((d < -EPSILON).sum())]
+        row = [*(k.as_py() for k in key), n, base.mean(), candidate.mean(), d.mean(), *counts, *only, pos[order[0]], low, high]
+        return pa.Table.from_arrays([pa.array([x], t.type) for x, t in zip(row, arrow, strict=True)], schema=arrow)
+
+    return paired.select(*by, "pos", "base", "candidate").groupBy(*by).applyInArrow(f, schema)
 
 
 def poisson_bootstrap(paired: DataFrame, by: list[str], draws: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:

@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..errors import ConfigError
 from ..functions import metrics as m
+from ..functions import rows
 from ..functions.text import VIEWS, normalized_columns, words
 
 
@@ -108,8 +113,74 @@ def with_statistics(viewed: DataFrame, names: list[str]) -> DataFrame:
     return viewed.withColumns(extra) if extra else viewed
 
 
+#: Metrics that `measured` knows, and its columns.
+MEASURED = frozenset({"exact_match", "chrf", "chrf++", "wer", "cer"})
+MEASURES = {"_same": "boolean", "_we": "long", "_wn": "long", "_ce": "long", "_cn": "long", "_pn": "long", "_chrf": "array<long>", "_chrf2": "array<long>"}
+#: Metrics by the columns that are worked out for them only.
+ASKED = {"_we": {"wer"}, "_ce": {"cer"}, "_chrf": {"chrf"}, "_chrf2": {"chrf++"}}
+
+
+def measured(scored: DataFrame, names: list[str], keep: tuple[str, ...] = ("id", "pos")) -> DataFrame:
+    """What `views` and `with_statistics` give for the metrics `names`, without the normal forms themselves:
+    a row for each example that has a reference and each view, from one pass over Arrow."""
+    rows.small_batches(scored.sparkSession)
+    lang = F.col("lang").cast("string") if "lang" in scored.columns else F.lit(None).cast("string")
+    has = scored.filter(F.col("reference").isNotNull()).select(*keep, lang.alias("_lang"), "answer", "reference")
+    measures = {c: kind for c, kind in MEASURES.items() if c not in ASKED or ASKED[c] & {*names}}
+    target = StructType([*has.select(*keep).schema.fields, *StructType.fromDDL("view string, " + ", ".join(f"{c} {kind}" for c, kind in measures.items())).fields])
+    arrow = to_arrow_schema(target)
+    gram_counts, chrf_tokens = m.gram_counts, m.chrf_tokens
+
+    def sign_counts(a: str, b: str) -> list[int]:
+        return gram_counts(*(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b)), m.CHAR_ORDER)[2::3]
+
+    def token_counts(a: list[str], b: list[str]) -> list[int]:
+        number = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+        return gram_counts(*(np.array([number[w] for w in x], np.int64) for x in (a, b)), 2)[2::3]
+
+    make = {
+        "_same": lambda x: x.same(),
+        "_we": lambda x: x.word_edits(),
+        "_wn": lambda x: x.n_words(x.r),
+        "_ce": lambda x: x.edits(),
+        "_cn": lambda x: x.size(x.r),
+        "_pn": lambda x: x.size(x.p),
+        "_chrf": lambda x: x.signs(m.CHAR_ORDER, sign_counts),
+        "_chrf2": lambda x: x.signs(m.CHAR_ORDER, sign_counts) + x.tokens(2, chrf_tokens, token_counts),
+    }
+    make = {c: make[c] for c in measures}
+
+    def run(batches):
+        for batch in rows.sliced(batches):
+            lang, answer, reference = (batch.column(len(keep) + k).to_pylist() for k in range(3))
+            out = {c: [] for c in ("view", *make)}
+            for a, r, x in zip(answer, reference, lang, strict=True):
+                done = {}
+                for view, pair in rows.pairs_of(a, r, x).items():
+                    if id(pair) not in done:
+                        done[id(pair)] = {c: f(pair) for c, f in make.items()}
+                    out["view"].append(view)
+                    for c, v in done[id(pair)].items():
+                        out[c].append(v)
+            twice = pa.array(np.repeat(np.arange(batch.num_rows), len(VIEWS)))
+            kept = [batch.column(k).take(twice) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[f.name], f.type) for f in [*arrow][len(keep) :])], schema=arrow)
+
+    return has.mapInArrow(run, target)
+
+
 def values(viewed: DataFrame, names: list[str], labels: dict[str, list[str]] | None = None) -> DataFrame:
-    """`viewed` with a column for each per-example metric. labels: view to label set."""
+    """`viewed`, or what was `measured`, with a column for each per-example metric. labels: view to label set."""
+    if "_same" in viewed.columns:
+        no_answer, no_reference = F.col("_pn") == 0, F.col("_cn") == 0
+        known = {
+            "exact_match": lambda: F.col("_same").cast("double"),
+            "chrf": lambda: m.chrf_where(no_answer, no_reference, F.col("_chrf")),
+            "chrf++": lambda: m.chrf_where(no_answer, no_reference, F.col("_chrf2")),
+            "wer": lambda: m.rate_of(F.col("_we"), F.col("_wn"), no_answer),
+            "cer": lambda: m.rate_of(F.col("_ce"), F.col("_cn"), no_answer),
+        }
+        return viewed.withColumns({n: known[n]() for n in names})
     p, r = F.col("p"), F.col("r")
     out = {}
     for name in names:
