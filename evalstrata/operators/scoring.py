@@ -254,16 +254,60 @@ def higher_is_better(name: str) -> bool:
     return CUSTOM[name][1] if name in CUSTOM else name not in m.LOWER_IS_BETTER
 
 
+#: Bits of a limb of an exact sum and how many follow the whole part.
+LIMB, LIMBS = 30, 4
+
+
+def exact_sum(x: Column) -> Column:
+    """Aggregate: the exact sum of numbers from 2^-60 to 2^30, and 0, as sums of limbs, from any order of rows."""
+    parts, rest = [], x
+    for _ in range(LIMBS):
+        parts.append(F.floor(rest))
+        rest = (rest - F.floor(rest)) * F.lit(float(1 << LIMB))
+    return F.array(*(F.sum(p) for p in (*parts, F.floor(rest))))
+
+
+def mean_of(limbs: Column, n: Column) -> Column:
+    """The exact sum, rounded once, over n."""
+    @F.pandas_udf("double")
+    def f(sums: pd.Series, n: pd.Series) -> pd.Series:
+        whole = lambda own: sum(int(x) << LIMB * (LIMBS - k) for k, x in enumerate(own))
+        return pd.Series([whole(s) / (1 << LIMB * LIMBS) / k if k else None for s, k in zip(sums, n, strict=True)], dtype=float)
+
+    return f(F.transform(limbs, lambda x: F.coalesce(x, F.lit(0).cast("long"))), n)
+
+
+def summed(wide: DataFrame, names: list[str], order: DataFrame) -> DataFrame:
+    """The summary of `measured` metrics from one pass of sums."""
+    sums = {f"x_{k}": exact_sum(F.col(f"`{n}`")) for k, n in enumerate(names)} | {f"n_{k}": F.count(F.col(f"`{n}`")) for k, n in enumerate(names)}
+    pools = {
+        "wer": lambda: m.pooled_rate(F.col("_we"), F.col("_wn")),
+        "cer": lambda: m.pooled_rate(F.col("_ce"), F.col("_cn")),
+        "chrf": lambda: m.pooled_statistics(F.col("_chrf"), m.CHAR_ORDER),
+        "chrf++": lambda: m.pooled_statistics(F.col("_chrf2"), m.CHAR_ORDER + 2),
+    }
+    pooled_ = {f"c_{k}": pools[n]() for k, n in enumerate(names) if n in pools}
+    one = wide.groupBy("view").agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in (sums | pooled_).items()))
+    corpus = lambda k, n: F.lit(None).cast("double") if n not in pools else m.chrf_of(F.col(f"c_{k}")) if n.startswith("chrf") else F.col(f"c_{k}")
+    rows_ = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"x_{k}").alias("x"), F.col(f"n_{k}").alias("k"), corpus(k, n).alias("corpus")) for k, n in enumerate(names))))
+    found = one.select("view", "n", rows_.alias("_s")).select("view", "n", "_s.*")
+    means = found.select("view", "metric", "n", mean_of(F.col("x"), F.col("k")).alias("mean"), "corpus")
+    return means.join(F.broadcast(order), "metric").select("view", "metric", "n", "position", "higher_is_better", "mean", "corpus")
+
+
 def score_run(examples: DataFrame, results: DataFrame, task: str = "generation", names: list[str] | None = None) -> dict[str, DataFrame]:
     """Frames of a scored run: `answers`, `values` (long), `summary` (view, metric, n, mean, corpus)."""
     names = list(names or m.TASK_DEFAULTS[task])
     check_metrics(task, names)
     answers = answered(examples, results)
+    order = examples.sparkSession.createDataFrame([(k, n, higher_is_better(n)) for k, n in enumerate(names)], "position int, metric string, higher_is_better boolean")
+    if {*names} <= MEASURED:
+        wide = values(measured(answers, names), names)
+        return {"answers": answers, "values": long_values(wide, names), "summary": summed(wide, names, order)}
     viewed = views(answers)
     labels = view_labels(viewed) if m.CLASSIFICATION_ONLY & {*names} else None
     wide = values(with_statistics(viewed, names), names, labels)
     long = long_values(wide, names) if any(n in m.PER_EXAMPLE or n in CUSTOM for n in names) else None
-    order = examples.sparkSession.createDataFrame([(k, n, higher_is_better(n)) for k, n in enumerate(names)], "position int, metric string, higher_is_better boolean")
     n = wide.groupBy("view").agg(F.count(F.lit(1)).alias("n"))
     summary = n.crossJoin(F.broadcast(order))  # at most two views by the metrics asked for
     if long is not None:
