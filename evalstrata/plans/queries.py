@@ -329,8 +329,8 @@ def alignment_errors(spark, sf_dir):
 @query
 def top_substitutions(spark, sf_dir):
     """Of all answered rows of the base run."""
-    v = both_views(spark, sf_dir).filter("view = 'tone_aware' and status = 'ok'")
-    top = al.top_errors(al.operations(al.aligned(v)), "substitute")
+    found = al.errors(answers(spark, sf_dir, "base").filter("status = 'ok'"))
+    top = al.top_errors(al.operations(found), "substitute", examples=False)
     return top.select("ref", "hyp", "n", "tone_only")
 
 
