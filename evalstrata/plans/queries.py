@@ -321,9 +321,11 @@ def asr_windows(spark, sf_dir):
 @query
 def alignment_errors(spark, sf_dir):
     """All errors of the base run by alignment, which equal its word edits."""
-    v = both_views(spark, sf_dir).filter("view = 'tone_aware'")
-    ops = al.operations(al.aligned(v))
-    return ops.agg(F.count_if(F.col("op") != "equal").alias("errors"), F.count_if(F.col("op").isin("equal", "substitute", "delete")).alias("reference_words"))
+    found = al.errors(answers(spark, sf_dir, "base"))
+    n = F.size("ops").cast("long")
+    read = F.size(F.filter("ops", lambda o: o["op"] != "insert")).cast("long")
+    zero = F.lit(0).cast("long")
+    return found.agg(F.coalesce(F.sum(n), zero).alias("errors"), F.coalesce(F.sum(F.col("hits") + read), zero).alias("reference_words"))
 
 
 @query
