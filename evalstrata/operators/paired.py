@@ -44,12 +44,48 @@ def outcomes(paired: DataFrame, by: list[str], sign: Column | None = None) -> Da
     )
 
 
+#: Pairs that differ up to which the p-value is a sum of whole numbers.
+COUNTED = 1_000
+
+
 def mcnemar_p(base_only: int, candidate_only: int) -> float:
     """Two-sided exact binomial p-value."""
-    n = base_only + candidate_only
+    n, least = base_only + candidate_only, min(base_only, candidate_only)
     if not n:
         return 1.0
-    return min(1.0, 2 * sum(comb(n, k) for k in range(min(base_only, candidate_only) + 1)) / 2**n)
+    if n <= COUNTED:
+        return min(1.0, 2 * sum(comb(n, k) for k in range(least + 1)) / 2**n)
+    first = half_binomial(n, least)
+    total = part = 1.0
+    for k in range(least, 0, -1):  # each term from the one above, until they no longer count
+        part *= k / (n - k + 1)
+        if part < total * 1e-18:
+            break
+        total += part
+    return min(1.0, 2 * first * total)
+
+
+def half_binomial(n: int, k: int) -> float:
+    """comb(n, k) / 2**n for large n by Loader's expansion, to some 1e-13 of its value."""
+    if not 0 < k < n:
+        return 0.5**n
+    rest = lambda x: lgamma(x + 1) - (x + 0.5) * log(x) + x - log(2 * pi) / 2 if x < 16 else (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / x / x) / x / x) / x / x) / x / x) / x
+
+    def deviance(x: int) -> float:
+        """x log(x / m) + m - x for m = n / 2, without cancellation where both are near."""
+        m = n / 2
+        v = (x - m) / (x + m)
+        if abs(v) >= 0.1:
+            return x * log(x / m) + m - x
+        total, term, j = (x - m) * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            more = total + term / (2 * j + 1)
+            if more == total:
+                return more
+            total, j = more, j + 1
+
+    return exp(rest(n) - rest(k) - rest(n - k) - deviance(k) - deviance(n - k)) * sqrt(n / (2 * pi * k * (n - k)))
 
 
 def mcnemar_column(base_only: Column, candidate_only: Column) -> Column:
