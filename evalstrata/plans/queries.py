@@ -81,9 +81,8 @@ def cer_pooled(spark, sf_dir):
 
 @query
 def wer_pooled(spark, sf_dir):
-    p, r = F.col("p"), F.col("r")
-    v = both_views(spark, sf_dir)
-    return v.groupBy("view").agg(F.round(m.pooled_rate(m.word_edits(p, r), F.size(words(r))), 6).alias("wer"), F.round(F.avg(m.wer(p, r)), 6).alias("mean_wer"))
+    v = scoring.values(scoring.measured(answers(spark, sf_dir, "base"), ["wer"]), ["wer"])
+    return v.groupBy("view").agg(F.round(m.pooled_rate(F.col("_we"), F.col("_wn")), 6).alias("wer"), F.round(F.avg("wer"), 6).alias("mean_wer"))
 
 
 @query
