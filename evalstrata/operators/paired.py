@@ -138,7 +138,9 @@ def tested(paired: DataFrame, by: list[str], least: int = 1, draws: int = 1000,
         row = [*(k.as_py() for k in key), n, base.mean(), candidate.mean(), d.mean(), *counts, *only, pos[order[0]], low, high]
         return pa.Table.from_arrays([pa.array([x], t.type) for x, t in zip(row, arrow, strict=True)], schema=arrow)
 
-    return paired.select(*by, "pos", "base", "candidate").groupBy(*by).applyInArrow(f, schema)
+    # small in bytes and dear in time: dealt explicitly, as adaptive execution would put all groups in one task
+    dealt = paired.select(*by, "pos", "base", "candidate").repartition(int(paired.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    return dealt.groupBy(*by).applyInArrow(f, schema)
 
 
 def poisson_bootstrap(paired: DataFrame, by: list[str], draws: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
