@@ -175,6 +175,23 @@ def chrf_where(no_answer: Column, no_reference: Column, statistics: Column) -> C
     return F.when(no_answer & no_reference, 100.0).when(no_answer | no_reference, 0.0).otherwise(chrf_of(statistics))
 
 
+def chrf_value(answer: int, reference: int, statistics: list[int]) -> float:
+    """`chrf_where` of one pair in Python, of so many signs; the same steps, so the same number."""
+    if not answer or not reference:
+        return 0.0 if answer or reference else 100.0
+    precision = recall = 0.0
+    n = 0
+    for i in range(0, len(statistics), 3):  # not sum(), which makes up for what is rounded off
+        a, b, both = statistics[i : i + 3]
+        if a > 0 and b > 0:
+            precision, recall, n = precision + both / a, recall + both / b, n + 1
+    precision, recall = precision / (n or 1), recall / (n or 1)
+    if precision + recall <= 0:
+        return 0.0
+    weight = BETA * BETA
+    return 100.0 * (1 + weight) * precision * recall / (weight * precision + recall)
+
+
 def pooled_statistics(statistics: Column, orders: int) -> Column:
     """Aggregate: statistics summed over rows."""
     return F.array(*(F.sum(statistics[i]) for i in range(3 * orders)))

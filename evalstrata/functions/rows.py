@@ -6,21 +6,24 @@ n-grams wholly within them are common to both, so only those that reach what lie
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache, cached_property
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from .text import APOSTROPHES, TONE_MARKS, VIEWS
+from .text import APOSTROPHES, STABLE, TONE_MARKS, VIEWS
 
 #: Rows of a batch that are turned into strings at once, and bytes of an Arrow batch.
 ROWS, BATCH_BYTES = 500, "4194304b"
 DEFAULT_BATCH_BYTES = "67108864b"
-#: Signs up to which n-grams are counted without arrays.
-SHORT = 300
+#: Signs up to which n-grams are counted without arrays, and of the ends that are looked at beside the middle.
+SHORT, NEAR = 300, 100
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -137,7 +140,8 @@ def in_both(a: Sequence, b: Sequence, orders: int, counts: Callable) -> list[int
     """How many n-grams of each order two sequences have in common."""
     if len(a) + len(b) > SHORT:
         return counts(a, b)
-    grams = lambda x, n: Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+    key = (lambda x: x) if isinstance(a, str) else tuple
+    grams = lambda x, n: Counter([key(x[i : i + n]) for i in range(len(x) - n + 1)])
     return [(grams(a, n) & grams(b, n)).total() for n in range(1, orders + 1)]
 
 
@@ -150,11 +154,75 @@ def statistics(answer: int, reference: int, common: list[int]) -> list[int]:
     return out
 
 
+@cache
+def kinds() -> np.ndarray:
+    """What the normal form makes of each sign up to the last of these: 0 blank, 1 letter or digit, 2 another sign,
+    3 apostrophe, 4 told by the form only. The first three are one sign in both views, whatever stands beside."""
+    found = np.full(0x20C1, 4, np.uint8)
+    stable = re.compile(STABLE)
+    for cp in range(len(found) - 1):
+        low = chr(cp).lower()
+        both = unicodedata.normalize("NFC", low), unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", low) if c not in TONE_MARKS))
+        if not stable.match(chr(cp)) or any(len(x) != 1 for x in both):
+            continue
+        own = {0 if x.isspace() else 3 if x == "'" else 1 if x.isalnum() else 2 for x in map(blank_or, both)}
+        if len(own) == 1:
+            found[cp] = own.pop()
+    return found
+
+
+@cache
+def latin_kinds() -> bytes:
+    return kinds()[:256].tobytes()
+
+
+def counted(text: str, orphans: bool) -> tuple[int, int] | None:
+    """Words and signs (without blanks) of the normal form, in either view, sign by sign; None if only the form tells."""
+    if not text:
+        return 0, 0
+    try:
+        own = np.frombuffer(text.encode("latin-1").translate(latin_kinds()), np.uint8)
+    except UnicodeEncodeError:
+        of = kinds()
+        own = of[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), len(of) - 1)]
+    most = own.max()
+    if most == 4:
+        return None
+    if most == 3:
+        own = np.concatenate([[0], own, [0]])
+        at = np.flatnonzero(own == 3)
+        left, right = own[at - 1] == 1, own[at + 1] == 1
+        own[at] = (left | right) if orphans else (left & right)
+    there = own != 0
+    return int(np.count_nonzero(there[1:] > there[:-1])) + int(there[0]), int(np.count_nonzero(there))
+
+
+def n_words(form_: str) -> int:
+    return form_.count(" ") + 1 if form_ else 0
+
+
+def bare(text: str) -> str:
+    return text.replace(" ", "")
+
+
 class Pair:
-    """The normal forms of an answer and its reference: what both start with, what lies between, what both end with."""
+    """An answer and its reference under a view: what both start with, what lies between, what both end with. Only the
+    middle is made a normal form at once; the ends are counted, and their forms made where a method needs them."""
+
+    def __init__(self, parts: tuple[str, str, str, str], tones: str, orphans: bool, counts: list[tuple[int, int] | None]) -> None:
+        start, p, r, end = parts
+        self.ends, self.form, self.orphans = (start, end), (lambda x: form(x, tones, orphans) if x else ""), orphans
+        self.p, self.r = self.form(p), self.form(r)
+        whole = lambda x: (n_words(x), len(bare(x)))
+        self.counts = [whole(x) if c is None else c for x, c in zip((self.head, self.tail) if None in counts else self.ends, counts, strict=True)]
+
+    @cached_property
+    def head(self) -> str:
+        return self.form(self.ends[0])
 
-    def __init__(self, head: str, p: str, r: str, tail: str) -> None:
-        self.head, self.p, self.r, self.tail = head, p, r, tail
+    @cached_property
+    def tail(self) -> str:
+        return self.form(self.ends[1])
 
     def same(self) -> bool:
         return self.p == self.r
@@ -164,11 +232,11 @@ class Pair:
 
     def size(self, middle: str) -> int:
         """Signs of the whole text."""
-        parts = [len(x) for x in (self.head, middle, self.tail) if x]
-        return sum(parts) + max(len(parts) - 1, 0)
+        ws = self.n_words(middle)
+        return sum(signs for _, signs in self.counts) + len(middle) - max(n_words(middle) - 1, 0) + max(ws - 1, 0)
 
     def n_words(self, middle: str) -> int:
-        return sum(x.count(" ") + 1 for x in (self.head, middle, self.tail) if x)
+        return sum(ws for ws, _ in self.counts) + n_words(middle)
 
     def word_edits(self) -> int:
         return 0 if self.same() else distance(self.p.split(), self.r.split())
@@ -176,32 +244,44 @@ class Pair:
     def edits(self) -> int:
         if self.same():
             return 0
-        before, after = (" ", "") if self.head else ("", " ") if self.tail else ("", "")
+        head, tail = (ws for ws, _ in self.counts)
+        before, after = (" ", "") if head else ("", " ") if tail else ("", "")
         put = lambda x: f"{before}{x}{after}" if x else ""
         return distance(put(self.p), put(self.r))
 
+    def near(self, n: int) -> tuple[str, str]:
+        """Forms of as much of the start's end and of the end's start as hold `n` signs, or of all; whole words."""
+        start, end = self.ends
+        cut = start.find(" ", max(len(start) - NEAR, 0)) if len(start) > NEAR else 0
+        head = self.form(start[cut:]) if cut > 0 else ""
+        stop = end.rfind(" ", 0, NEAR) if len(end) > NEAR else 0
+        tail = self.form(end[:stop]) if stop > 0 else ""
+        return head if len(bare(head)) >= n else self.head, tail if len(bare(tail)) >= n else self.tail
+
     def signs(self, orders: int, counts: Callable) -> list[int]:
         """Statistics of n-grams of signs, without blanks."""
-        bare = lambda x: x.replace(" ", "")
-        ends = sum(len(x) - x.count(" ") for x in (self.head, self.tail))
+        ends = sum(signs for _, signs in self.counts)
         p, r = bare(self.p), bare(self.r)
         if p == r:
             return statistics(ends + len(p), ends + len(r), [max(ends + len(r) - n, 0) for n in range(orders)])
         near = orders - 1
-        before, after = bare(self.head[-2 * near :])[-near:], bare(self.tail[: 2 * near])[:near]
+        head, tail = self.near(near)
+        before, after = bare(head[-2 * near :])[-near:], bare(tail[: 2 * near])[:near]
         aside = ends - len(before) - len(after)
         common = in_both(before + p + after, before + r + after, orders, counts)
         return statistics(ends + len(p), ends + len(r), [aside + c for c in common])
 
     def tokens(self, orders: int, split: Callable, counts: Callable) -> list[int]:
         """Statistics of n-grams of words, of which `split` makes one or two tokens each."""
-        many = lambda x: len(split(x)) if "'" in x else x.count(" ") + 1 if x else 0
-        ends = many(self.head) + many(self.tail)
+        # an apostrophe stands at the end of a word only where just lone ones are dropped
+        many = lambda k: len(split(x)) if self.orphans and "'" in (x := (self.head, self.tail)[k]) else self.counts[k][0]
+        ends = many(0) + many(1)
         p, r = split(self.p), split(self.r)
         if p == r:
             return statistics(ends + len(p), ends + len(r), [max(ends + len(r) - n, 0) for n in range(orders)])
         near = orders - 1
-        before, after = split(self.head[self.head.rfind(" ") + 1 :])[-near:], split(self.tail.partition(" ")[0])[:near]
+        head, tail = self.near(1)
+        before, after = split(head[head.rfind(" ") + 1 :])[-near:], split(tail.partition(" ")[0])[:near]
         aside = ends - len(before) - len(after)
         common = in_both(before + p + after, before + r + after, orders, counts)
         return statistics(ends + len(p), ends + len(r), [aside + c for c in common])
@@ -220,11 +300,22 @@ def parted(answer: str, reference: str) -> tuple[str, str, str, str]:
     return reference[:start], p[: len(p) - size], r[: len(r) - size], r[len(r) - size :]
 
 
+def parted_in_lower_case(answer: str, reference: str) -> tuple[str, str, str, str]:
+    """`parted`, and what lies between once more in lower case if it is long: no step looks at the case."""
+    start, p, r, end = parted(answer, reference)
+    if len(p) + len(r) > SHORT:
+        more, p, r, less = parted(p.lower(), r.lower())
+        start, end = start + more, less + end
+    return start, p, r, end
+
+
 def pairs_of(answer: str, reference: str, lang: str | None) -> dict[str, Pair]:
-    """The pair under each view. Texts without other signs than ASCII have no tone marks, so one form."""
-    parts = parted(answer, reference)
-    make = lambda tones: Pair(*(form(x, tones, lang == "ha") if x else "" for x in parts))
+    """The pair under each view: the same where neither what is counted nor what is compared depends on the view, as
+    texts without other signs than ASCII have no tone marks."""
+    parts, orphans = parted_in_lower_case(answer, reference), lang == "ha"
+    counts = [counted(x, orphans) for x in (parts[0], parts[3])]
+    make = lambda tones: Pair(parts, tones, orphans, counts)
     first, *others = VIEWS
     pair = make(VIEWS[first])
-    bare = answer.isascii() and reference.isascii()
-    return {first: pair} | {v: pair if bare else make(VIEWS[v]) for v in others}
+    alike = parts[1].isascii() and parts[2].isascii() and (pair.same() and None not in counts or answer.isascii() and reference.isascii())
+    return {first: pair} | {v: pair if alike else make(VIEWS[v]) for v in others}

@@ -82,9 +82,17 @@ def language(name: Column) -> Column:
     return known[key]
 
 
+#: A sign that may be white space other than blanks and line feeds, or is beyond Latin-1; the others are listed singly,
+#: as that is looked up in a table of bits.
+ODD_BLANK = "[^\n" + "".join(f"\\x{i:02x}" for i in range(256) if not chr(i).isspace() or i == 32) + "]"
+
+
 def collapsed(text: Column) -> Column:
-    """White space as single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+    """White space as single blanks, none at the ends. Most texts have blanks and line feeds only, which takes no
+    pattern."""
+    lines = F.replace(text, F.lit("\n"), F.lit(" "))
+    plain = F.when(F.contains(lines, F.lit("  ")), F.regexp_replace(lines, "  +", " ")).otherwise(lines)
+    return F.trim(F.when(text.rlike(ODD_BLANK), F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")).otherwise(plain))
 
 
 def words(text: Column) -> Column:

@@ -120,15 +120,8 @@ MEASURES = {"_same": "boolean", "_we": "long", "_wn": "long", "_ce": "long", "_c
 ASKED = {"_we": {"wer"}, "_ce": {"cer"}, "_chrf": {"chrf"}, "_chrf2": {"chrf++"}}
 
 
-def measured(scored: DataFrame, names: list[str], keep: tuple[str, ...] = ("id", "pos")) -> DataFrame:
-    """What `views` and `with_statistics` give for the metrics `names`, without the normal forms themselves:
-    a row for each example that has a reference and each view, from one pass over Arrow."""
-    rows.small_batches(scored.sparkSession)
-    lang = F.col("lang").cast("string") if "lang" in scored.columns else F.lit(None).cast("string")
-    has = scored.filter(F.col("reference").isNotNull()).select(*keep, lang.alias("_lang"), "answer", "reference")
-    measures = {c: kind for c, kind in MEASURES.items() if c not in ASKED or ASKED[c] & {*names}}
-    target = StructType([*has.select(*keep).schema.fields, *StructType.fromDDL("view string, " + ", ".join(f"{c} {kind}" for c, kind in measures.items())).fields])
-    arrow = to_arrow_schema(target)
+def makers(names: list[str]) -> dict[str, Callable]:
+    """Functions of a pair for the columns that `names` need."""
     gram_counts, chrf_tokens = m.gram_counts, m.chrf_tokens
 
     def sign_counts(a: str, b: str) -> list[int]:
@@ -138,6 +131,11 @@ def measured(scored: DataFrame, names: list[str], keep: tuple[str, ...] = ("id",
         number = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
         return gram_counts(*(np.array([number[w] for w in x], np.int64) for x in (a, b)), 2)[2::3]
 
+    def signs(x: rows.Pair) -> list[int]:
+        if not hasattr(x, "of_signs"):
+            x.of_signs = x.signs(m.CHAR_ORDER, sign_counts)
+        return x.of_signs
+
     make = {
         "_same": lambda x: x.same(),
         "_we": lambda x: x.word_edits(),
@@ -145,10 +143,25 @@ def measured(scored: DataFrame, names: list[str], keep: tuple[str, ...] = ("id",
         "_ce": lambda x: x.edits(),
         "_cn": lambda x: x.size(x.r),
         "_pn": lambda x: x.size(x.p),
-        "_chrf": lambda x: x.signs(m.CHAR_ORDER, sign_counts),
-        "_chrf2": lambda x: x.signs(m.CHAR_ORDER, sign_counts) + x.tokens(2, chrf_tokens, token_counts),
+        "_chrf": signs,
+        "_chrf2": lambda x: signs(x) + x.tokens(2, chrf_tokens, token_counts),
     }
-    make = {c: make[c] for c in measures}
+    return {c: make[c] for c in MEASURES if c not in ASKED or ASKED[c] & {*names}}
+
+
+def with_reference(scored: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """`keep`, language, answer and reference of the examples that have one, for a pass over Arrow."""
+    rows.small_batches(scored.sparkSession)
+    lang = F.col("lang").cast("string") if "lang" in scored.columns else F.lit(None).cast("string")
+    return scored.filter(F.col("reference").isNotNull()).select(*keep, lang.alias("_lang"), "answer", "reference")
+
+
+def measured(scored: DataFrame, names: list[str], keep: tuple[str, ...] = ("id", "pos")) -> DataFrame:
+    """What `views` and `with_statistics` give for the metrics `names`, without the normal forms themselves:
+    a row for each example that has a reference and each view, from one pass over Arrow."""
+    has, make = with_reference(scored, keep), makers(names)
+    target = StructType([*has.select(*keep).schema.fields, *StructType.fromDDL("view string, " + ", ".join(f"{c} {MEASURES[c]}" for c in make)).fields])
+    arrow = to_arrow_schema(target)
 
     def run(batches):
         for batch in rows.sliced(batches):
@@ -169,6 +182,55 @@ def measured(scored: DataFrame, names: list[str], keep: tuple[str, ...] = ("id",
     return has.mapInArrow(run, target)
 
 
+def totals(scored: DataFrame, names: list[str]) -> DataFrame:
+    """(view, metric, n, sums, pool) from one pass over Arrow, a row for each task, view and metric: how many values,
+    their exact sum in limbs, and the sums behind the pooled form."""
+    has, make = with_reference(scored, ()), makers(names)
+    target = StructType.fromDDL("view string, metric string, n long, sums array<long>, pool array<long>")
+    arrow = to_arrow_schema(target)
+    rate = lambda edits, n, empty: edits / n if n else 0.0 if empty else 1.0
+    value_of = {
+        "exact_match": lambda x: float(x["_same"]),
+        "chrf": lambda x: m.chrf_value(x["_pn"], x["_cn"], x["_chrf"]),
+        "chrf++": lambda x: m.chrf_value(x["_pn"], x["_cn"], x["_chrf2"]),
+        "wer": lambda x: rate(x["_we"], x["_wn"], not x["_pn"]),
+        "cer": lambda x: rate(x["_ce"], x["_cn"], not x["_pn"]),
+    }
+    pool_of = {
+        "exact_match": lambda x: [],
+        "chrf": lambda x: x["_chrf"],
+        "chrf++": lambda x: x["_chrf2"],
+        "wer": lambda x: [x["_we"], x["_wn"]] if x["_wn"] else [0, 0],
+        "cer": lambda x: [x["_ce"], x["_cn"]] if x["_cn"] else [0, 0],
+    }
+
+    def run(batches):
+        sums = {(v, n): 0 for v in VIEWS for n in names}
+        pools: dict = {}
+        count = 0
+        for batch in rows.sliced(batches):
+            lang, answer, reference = (batch.column(k).to_pylist() for k in range(3))
+            own = {k: [] for k in sums}
+            for a, r, x in zip(answer, reference, lang, strict=True):
+                done = {}
+                for view, pair in rows.pairs_of(a, r, x).items():
+                    if id(pair) not in done:
+                        found = {c: f(pair) for c, f in make.items()}
+                        done[id(pair)] = {n: (fixed(value_of[n](found)), pool_of[n](found)) for n in names}
+                    for n, (value, pool) in done[id(pair)].items():
+                        sums[view, n] += value
+                        own[view, n].append(pool)
+            for k, pool in own.items():
+                if pool:
+                    pools[k] = pools.get(k, 0) + np.array(pool, np.int64).sum(axis=0)
+            count += batch.num_rows
+        if count:
+            out = [(*k, count, limbs(x), pools[k].tolist()) for k, x in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return has.mapInArrow(run, target)
+
+
 def values(viewed: DataFrame, names: list[str], labels: dict[str, list[str]] | None = None) -> DataFrame:
     """`viewed`, or what was `measured`, with a column for each per-example metric. labels: view to label set."""
     if "_same" in viewed.columns:
@@ -267,6 +329,23 @@ def exact_sum(x: Column) -> Column:
     return F.array(*(F.sum(p) for p in (*parts, F.floor(rest))))
 
 
+def fixed(x: float) -> int:
+    """A number in units of the last limb, as `exact_sum` takes it."""
+    if not x:
+        return 0
+    top, bottom = x.as_integer_ratio()
+    return (top << LIMB * LIMBS) // bottom
+
+
+def limbs(x: int) -> list[int]:
+    """Such a whole number as the limbs of `exact_sum`."""
+    out = []
+    for _ in range(LIMBS):
+        x, own = divmod(x, 1 << LIMB)
+        out.append(own)
+    return [x, *reversed(out)]
+
+
 def mean_of(limbs: Column, n: Column) -> Column:
     """The exact sum, rounded once, over n."""
     @F.pandas_udf("double")
@@ -277,21 +356,17 @@ def mean_of(limbs: Column, n: Column) -> Column:
     return f(F.transform(limbs, lambda x: F.coalesce(x, F.lit(0).cast("long"))), n)
 
 
-def summed(wide: DataFrame, names: list[str], order: DataFrame) -> DataFrame:
-    """The summary of `measured` metrics from one pass of sums."""
-    sums = {f"x_{k}": exact_sum(F.col(f"`{n}`")) for k, n in enumerate(names)} | {f"n_{k}": F.count(F.col(f"`{n}`")) for k, n in enumerate(names)}
-    pools = {
-        "wer": lambda: m.pooled_rate(F.col("_we"), F.col("_wn")),
-        "cer": lambda: m.pooled_rate(F.col("_ce"), F.col("_cn")),
-        "chrf": lambda: m.pooled_statistics(F.col("_chrf"), m.CHAR_ORDER),
-        "chrf++": lambda: m.pooled_statistics(F.col("_chrf2"), m.CHAR_ORDER + 2),
-    }
-    pooled_ = {f"c_{k}": pools[n]() for k, n in enumerate(names) if n in pools}
-    one = wide.groupBy("view").agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in (sums | pooled_).items()))
-    corpus = lambda k, n: F.lit(None).cast("double") if n not in pools else m.chrf_of(F.col(f"c_{k}")) if n.startswith("chrf") else F.col(f"c_{k}")
-    rows_ = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"x_{k}").alias("x"), F.col(f"n_{k}").alias("k"), corpus(k, n).alias("corpus")) for k, n in enumerate(names))))
-    found = one.select("view", "n", rows_.alias("_s")).select("view", "n", "_s.*")
-    means = found.select("view", "metric", "n", mean_of(F.col("x"), F.col("k")).alias("mean"), "corpus")
+def summed(scored: DataFrame, names: list[str], order: DataFrame) -> DataFrame:
+    """The summary of metrics that `measured` knows from one pass of sums, which leave Python added up."""
+    orders = {"chrf": m.CHAR_ORDER, "chrf++": m.CHAR_ORDER + 2}
+    size = 3 * max((orders[n] for n in names if n in orders), default=1)
+    total = lambda c, k: F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(k)))
+    one = totals(scored, names).groupBy("view", "metric").agg(F.sum("n").alias("n"), total("sums", LIMBS + 1).alias("x"), total("pool", size).alias("c"))
+    corpus = F.when(F.col("metric").isin("wer", "cer") & (F.get("c", F.lit(1)) > 0), F.get("c", F.lit(0)) / F.get("c", F.lit(1)))
+    for name, k in orders.items():
+        if name in names:
+            corpus = F.when(F.col("metric") == name, m.chrf_of(F.slice("c", 1, 3 * k))).otherwise(corpus)
+    means = one.select("view", "metric", "n", mean_of(F.col("x"), F.col("n")).alias("mean"), corpus.alias("corpus"))
     return means.join(F.broadcast(order), "metric").select("view", "metric", "n", "position", "higher_is_better", "mean", "corpus")
 
 
@@ -303,7 +378,7 @@ def score_run(examples: DataFrame, results: DataFrame, task: str = "generation",
     order = examples.sparkSession.createDataFrame([(k, n, higher_is_better(n)) for k, n in enumerate(names)], "position int, metric string, higher_is_better boolean")
     if {*names} <= MEASURED:
         wide = values(measured(answers, names), names)
-        return {"answers": answers, "values": long_values(wide, names), "summary": summed(wide, names, order)}
+        return {"answers": answers, "values": long_values(wide, names), "summary": summed(answers, names, order)}
     viewed = views(answers)
     labels = view_labels(viewed) if m.CLASSIFICATION_ONLY & {*names} else None
     wide = values(with_statistics(viewed, names), names, labels)

@@ -30,6 +30,12 @@ def answers(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
     return scoring.answered(ex, inputs.results(ex, run))
 
 
+def text_answers(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
+    """The same without other columns of the examples, for what looks at the texts."""
+    ex = inputs.dealt(inputs.examples(spark, sf_dir))
+    return scoring.answered(ex, inputs.results(ex, run))
+
+
 def both_views(spark: SparkSession, sf_dir: str, run: str = "base") -> DataFrame:
     return scoring.views(answers(spark, sf_dir, run))
 
@@ -338,7 +344,7 @@ def top_substitutions(spark, sf_dir):
 @query
 def score_summary(spark, sf_dir):
     """Every metric of a generation run at once."""
-    ex = inputs.examples(spark, sf_dir)
+    ex = inputs.dealt(inputs.examples(spark, sf_dir))
     s = scoring.score_run(ex, inputs.results(ex, "candidate"), "generation", ["exact_match", "chrf", "chrf++", "wer", "cer"])["summary"]
     return s.select("view", "metric", "n", "higher_is_better", F.round("mean", 6).alias("mean"), F.round("corpus", 6).alias("corpus"))
 
