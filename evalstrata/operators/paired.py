@@ -27,6 +27,15 @@ def pairs(base: DataFrame, candidate: DataFrame, on: list[str] | None = None) ->
     return b.join(c, on)
 
 
+def wide_pairs(base: DataFrame, candidate: DataFrame, names: list[str]) -> DataFrame:
+    """`pairs` of two runs that have a column for each metric: joined once for all metrics, stacked after that."""
+    own = lambda side: F.struct(*(F.col(f"`{n}`").alias(f"m{k}") for k, n in enumerate(names))).alias(side)
+    b, c = base.select("id", "view", "pos", own("b")), candidate.select("id", "view", own("c"))
+    stacked = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"b.m{k}").alias("base"), F.col(f"c.m{k}").alias("candidate")) for k, n in enumerate(names))))
+    out = b.join(c, ["id", "view"]).select("id", "view", "pos", stacked.alias("_s")).select("id", "view", "_s.metric", "pos", "_s.base", "_s.candidate")
+    return out.filter(F.col("base").isNotNull() & F.col("candidate").isNotNull())
+
+
 def outcomes(paired: DataFrame, by: list[str], sign: Column | None = None) -> DataFrame:
     """n, means, delta, wins, ties, losses; and of 0/1 values those that only one run has right."""
     d = (F.col("candidate") - F.col("base")) * (F.lit(1.0) if sign is None else sign)

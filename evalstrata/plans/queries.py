@@ -40,13 +40,9 @@ def both_views(spark: SparkSession, sf_dir: str, run: str = "base") -> DataFrame
     return scoring.views(answers(spark, sf_dir, run))
 
 
-def values(spark: SparkSession, sf_dir: str, run: str, names: list[str]) -> DataFrame:
-    found = scoring.measured(answers(spark, sf_dir, run), names)
-    return scoring.long_values(scoring.values(found, names), names)
-
-
 def both_runs(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    return paired.pairs(values(spark, sf_dir, "base", names), values(spark, sf_dir, "candidate", names))
+    base, candidate = (scoring.values(scoring.measured(text_answers(spark, sf_dir, run), names), names) for run in ("base", "candidate"))
+    return paired.wide_pairs(base, candidate, names)
 
 
 @query
