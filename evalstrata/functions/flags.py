@@ -12,12 +12,14 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import ROWS, form, small_batches
+from .rows import ROWS, form, is_latin, latin_words, parted_in_lower_case, small_batches
 from .text import WORD, normalized
 
 #: Flags in the order of reports, and what they mean.
@@ -102,6 +104,10 @@ ONE_NUMBER = re.compile(r"\d+(?:\.\d+)?(?:\r\n|[\n\r\x85\u2028\u2029])?")
 ASCII_BLANK = " \t\n\x0b\f\r"
 #: Texts of these characters have letters of Latin script only.
 LATIN = "^[\\x00-\\xb4\\xb6-\\u02af]*$"
+#: A sign that isn't among the first 256 of them; these are listed singly, as that is looked up in a table of bits.
+BEYOND = "[^" + "".join(f"\\x{i:02x}" for i in range(256) if i != 0xB5) + "]"
+#: Words from which on hash values are sorted before anything is counted, and the factor of those of a phrase.
+MANY, FACTOR = 40, np.uint64(0x9E3779B97F4A7C15)
 
 
 def is_json(text: str) -> bool:
@@ -115,18 +121,32 @@ def is_json(text: str) -> bool:
     return True
 
 
-def repeated(words: list[str]) -> bool:
-    """`repeats` of one text's words."""
+def repeated(words: list) -> bool:
+    """`repeats` of one text's words. Of longer texts hash values are sorted first: where none of them is as frequent
+    as asked, no word or phrase is."""
     n = len(words)
+    if n > MANY:
+        own = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
+        phrases = own[: 1 - PHRASE].copy()
+        for k in range(1, PHRASE):
+            phrases = phrases * FACTOR + own[k : n - PHRASE + 1 + k]
+        if not (frequent(own, ceil(n * DOMINANT)) or frequent(phrases, REPEATS)):
+            return False
     if n >= 8 and max(Counter(words).values()) >= n * DOMINANT:
         return True
     return n >= PHRASE * REPEATS and max(Counter(zip(*(words[k:] for k in range(PHRASE)), strict=False)).values()) >= REPEATS
 
 
-def names_in(reference: str) -> set[str]:
-    """`required` of one text."""
+def frequent(items: np.ndarray, times: int) -> bool:
+    """Whether any item occurs so often."""
+    items = np.sort(items)
+    return bool((items[times - 1 :] == items[: len(items) - times + 1]).any())
+
+
+def names_in(reference: str, start: int = 0, stop: int | None = None) -> set[str]:
+    """`required` of one text, or of a part of it that blanks or its ends bound."""
     found = set()
-    for hit in NAME.finditer(reference):
+    for hit in NAME.finditer(reference, start, len(reference) if stop is None else stop):
         at, word = hit.start(), hit.group()
         # the signs beside a name are looked at beyond ASCII too
         if (at and is_word(reference[at - 1])) or is_word(reference[hit.end() : hit.end() + 1]):
@@ -149,23 +169,34 @@ def numbers_in(text: str) -> set[str]:
 
 
 def raised(p: str, r: str, wanted: str | None, terms: list | None, needs_terms: bool) -> list[str]:
-    """The flags of one answer, but for the one on its script; none of an empty answer but that it is empty."""
+    """The flags of one answer, but for the one on its script; none of an empty answer but that it is empty. Words that
+    both texts start and end with hold the same names and numbers, so those are looked for in between: in texts in
+    Latin-1, which have no marks that join with letters and as many signs in lower case."""
     bare = p.strip()
     if not bare:
         return ["empty_output"]
-    a = form(p, "strip", False)
-    words = WORDS.findall(a)
+    words = latin_words(p)
+    if words is None:
+        a = form(p, "strip", False)
+        words = WORDS.findall(a)
+    else:
+        a = b" ".join(words).decode("latin-1")
+    start, stop, numbers = 0, len(r), p != r
+    if is_latin(p) and is_latin(r):
+        head, *middle, tail = parted_in_lower_case(p, r)
+        start, stop = len(head), len(r) - len(tail)
+        numbers = numbers and numbers_in(middle[0]) != numbers_in(middle[1])
     asked = wanted if wanted in FORMATS else "json" if is_json(r) else None
     end = bare.rstrip("\"'”’)]}").strip()
     wrong = asked == "json" and not is_json(p) or asked == "number" and not ONE_NUMBER.fullmatch(bare.rstrip("."))
     # terms that are given replace those of the reference
-    needed = names_in(r) if terms is None or not needs_terms else {t for t in terms if t is not None}
+    needed = names_in(r, start, stop) if terms is None or not needs_terms else {t for t in terms if t is not None}
     rules = {
         "repeated_output": repeated(words),
         "truncated_output": r.rstrip()[-1:] in ENDS and bool(end) and end[-1] not in ENDS and len(words) >= 5,
         "format_noncompliant": wrong,
         "missing_required_terms": any(form(t, "strip", False) not in a for t in needed),
-        "number_mismatch": p != r and numbers_in(r) != numbers_in(p),
+        "number_mismatch": numbers and numbers_in(r) != numbers_in(p),
     }
     return [name for name, rule in rules.items() if rule]
 
@@ -187,7 +218,7 @@ def flag_answers(df: DataFrame, prediction: str = "prediction", reference: str =
     p = F.col(prediction)
     asked = F.col(wanted) if wanted else F.lit(None).cast("string")
     needed = F.col(terms) if terms else F.lit(None).cast("array<string>")
-    foreign = F.when(p.isNull() | F.col(reference).isNull() | (stripped(p) == "") | p.rlike(LATIN), False).otherwise(non_latin(p))
+    foreign = F.when(p.isNull() | F.col(reference).isNull() | ~p.rlike(BEYOND), False).when((stripped(p) == "") | p.rlike(LATIN), False).otherwise(non_latin(p))
     script = F.when(F.col("_foreign"), F.array(F.lit("script_mismatch"))).otherwise(F.array().cast("array<string>"))
     own = df.withColumn("_foreign", foreign).withColumn("_rules", rules(p, F.col(reference), asked, needed))
     return own.withColumn("flags", F.concat("_rules", script)).drop("_foreign", "_rules")

@@ -176,6 +176,31 @@ def latin_kinds() -> bytes:
     return kinds()[:256].tobytes()
 
 
+@cache
+def latin_forms() -> bytes:
+    """Signs of Latin-1 in the normal form without tone marks, where they are blanks, letters or digits."""
+    return bytes(ord(form(chr(i), "strip", False) or " ") if kind < 2 else i for i, kind in enumerate(latin_kinds()))
+
+
+def latin_words(text: str) -> list[bytes] | None:
+    """The words of the normal form without tone marks, in Latin-1; None of other texts, and of those with apostrophes
+    or with signs that are no letters or digits."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    own = raw.translate(latin_kinds())
+    return None if any(k in own for k in (b"\2", b"\3", b"\4")) else raw.translate(latin_forms()).split()
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def counted(text: str, orphans: bool) -> tuple[int, int] | None:
     """Words and signs (without blanks) of the normal form, in either view, sign by sign; None if only the form tells."""
     if not text:

@@ -179,7 +179,7 @@ def group_counts(spark, sf_dir):
 
 
 def flagged(spark, sf_dir, run):
-    a = answers(spark, sf_dir, run).filter("status = 'ok'")
+    a = text_answers(spark, sf_dir, run).filter("status = 'ok'")
     return fl.flag_answers(a, "answer", "reference")
 
 
