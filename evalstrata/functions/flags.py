@@ -225,6 +225,7 @@ def flag_answers(df: DataFrame, prediction: str = "prediction", reference: str =
 
 
 def flag_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, name, n) of the flags raised."""
+    """(by, name, n) of the flags raised. From a plain explode a filter of empty arrays would be inferred, for which the
+    rules would be worked out once more."""
     by = by or []
-    return df.select(*by, F.explode("flags").alias("name")).groupBy(*by, "name").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(*by, F.explode_outer("flags").alias("name")).filter(F.col("name").isNotNull()).groupBy(*by, "name").agg(F.count(F.lit(1)).alias("n"))

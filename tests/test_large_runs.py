@@ -210,7 +210,7 @@ def test_flags_deal_the_texts_once(spark):
         shown = final_plan(spark, "flag_comparison")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert shown.count("Scan parquet") == 1
+    assert shown.count("Scan parquet") == 1 and shown.count("ArrowEvalPython") == 2  # the rules once for each run
 
 
 def test_flags_look_at_what_differs():
